@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,39 @@ def sized(spark: SparkSession, rows: int, per_task: int) -> int:
     """Tasks for rows at per_task each: as many as shuffle partitions at least while rows allow a tenth of that."""
     floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(1, -(-rows // per_task), min(floor, -(-rows // max(1, per_task // 10))))
+
+
+def runs(batches, keys: int = 1):
+    """Tables of equal values in the first ``keys`` columns, from batches that come sorted by them; one run is held at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(b.num_rows, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        new[0] = last is not None and first != last
+        last = tuple(c[-1] for c in cols)
+        at = 0
+        for i in np.flatnonzero(new):
+            if i > at:
+                held.append(b.slice(at, i - at))
+            if held:
+                yield pa.Table.from_batches(held).combine_chunks()
+            held, at = [], i
+        held.append(b.slice(at))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS whole texts, so that neither side of the Python pipe holds many long ones."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from motionframe.llm import exact_dedup, packing, token_output, topk_search
+from motionframe.llm import exact_dedup, near_dedup, packing, token_output, topk_search
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_topk_search": topk_search.op6_topk_search,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
 SQL = {
+    "op2_near_dedup": near_dedup.SQL,
     "op6_topk_search": topk_search.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
 }
