@@ -30,7 +30,8 @@ def frequent_digests(rows: DataFrame, heavy_slots: int = HEAVY_SLOTS, tracked: i
     parts = rows.groupBy(F.pmod(F.spark_partition_id(), F.lit(SKETCH_GROUPS)).alias("g")).agg(
         F.expr(f"approx_top_k_accumulate(digest, {tracked})").alias("sketch")
     )
-    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # grouped by a value that all rows share: an ungrouped combine fails on partitions without rows
+    whole = parts.groupBy((F.col("g") < 0).alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
     return whole.select(F.expr(f"inline(approx_top_k_estimate(sketch, {heavy_slots}))")).select(
         F.col("item").alias("digest")
     )
