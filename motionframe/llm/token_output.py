@@ -20,7 +20,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm.common import fresh_path, narrowed, table
+from motionframe.llm.common import fresh_path, narrowed, small_batches, table
 from motionframe.llm.tokens import encoder
 
 MAGIC = 0x3154494253444954
@@ -147,6 +147,7 @@ def write_shards(
     An empty table gives no files.  Bounds between files are quantiles of doc_id alone, so texts are moved once.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = narrowed(docs, id_col, text_col)
     cuts = rows.select(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).head()[0] or []
@@ -164,7 +165,7 @@ def write_shards(
                 ids = tokens.encode(text.as_py())
                 held.append((shard, doc_id, ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
                 size += len(held[-1][2])
-                if size > 1 << 23:
+                if size > 1 << 21:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
                     held, size = [], 0
             if held:

@@ -16,7 +16,7 @@ from itertools import islice
 
 import numpy as np
 
-WORDS = 300_000
+WORDS = 500_000
 MARKS = tuple(".,;:!?")
 LATIN = "\u0100"
 
