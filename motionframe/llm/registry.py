@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from motionframe.llm import exact_dedup, near_dedup, packing, token_output, topk_search
+from motionframe.llm import exact_dedup, near_dedup, packing, pii, token_output, topk_search, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_toxicity": toxicity.op3_toxicity,
+    "op4_pii": pii.op4_pii,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_topk_search": topk_search.op6_topk_search,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
