@@ -30,11 +30,11 @@ from motionframe.llm.shingles import U, mix, shingle_sets
 
 PERCENT = 85
 COORDINATES = 128
-TREES = 24
-SCREEN_TREES = 8
-DEPTH = 8
+TREES = 13
+SCREEN_TREES = 6
+DEPTH = 4
 NODE = 128
-BLOCK = 128
+BLOCK = 256
 BLOCK_SHINGLES = 2_000_000
 MISS = 1e-4
 SET_HASH = U(0xC2B2AE3D27D4EB4F)
