@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from motionframe.llm import exact_dedup, near_dedup, packing, pii, token_output, topk_search, toxicity
+from motionframe.llm import exact_dedup, near_dedup, packing, pii, suffix_dedup, token_output, topk_search, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_topk_search": topk_search.op6_topk_search,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 
 SQL = {
