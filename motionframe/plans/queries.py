@@ -22,7 +22,7 @@ CPU = PROFILES["cpu"].but(threshold=DIFF_MOSAIC)
 STRESS = CPU.but(morph_ksize=9)
 GPU = PROFILES["gpu"].but(threshold=10)
 PER_FRAME = PROFILES["gpu_per_frame"].but(threshold=10, morph_ksize=5)
-OPENCV = PROFILES["opencv"].but(threshold=DIFF_MOSAIC, morph_ksize=5)
+OPENCV = PROFILES["opencv"].but(threshold=50, morph_ksize=3)
 KERNEL = np.eye(3, dtype=int)
 
 
