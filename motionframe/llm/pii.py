@@ -111,7 +111,8 @@ def candidates(text: Column, cards: Column, quoted: Column) -> Column:
         return F.struct(s["kind"], s["start"], s["end"], F.concat(shape, words, around, spread).alias("votes"))
 
     numbers = F.transform(F.filter(cards, lambda s: ~valid_card(s["found"])), lambda s: F.struct(F.lit("number").alias("kind"), s["start"], s["end"], s["found"]))
-    return F.transform(F.concat(numbers, quoted), judged)
+    # digits within a longer word are no number of their own
+    return F.filter(F.transform(F.concat(numbers, quoted), judged), lambda s: (s["kind"] != "number") | (F.substring(s["votes"], 3, 1) != "0"))
 
 
 def proposed(docs: DataFrame) -> DataFrame:
