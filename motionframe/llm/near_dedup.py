@@ -142,10 +142,10 @@ def alike_in_nodes(rows: DataFrame, similarity: float) -> DataFrame:
             s = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
             left = np.arange(len(rep))
             while len(left) > 1:  # grow one group after another, comparing it with all that are left
-                front, left = left[:1], left[1:]
+                head, front, left = int(rep[left[0]]), left[:1], left[1:]
                 while len(front) and len(left):
                     hit = (s[left] == s[front[0]]).sum(axis=1) >= need
-                    out += [(int(rep[front[0]]), int(rep[j])) for j in left[hit]]
+                    out += [(head, int(rep[j])) for j in left[hit]]
                     front, left = np.concatenate([front[1:], left[hit]]), left[~hit]
             if len(out) > 20_000:
                 yield edges(out)
@@ -175,7 +175,7 @@ def candidate_links(sigs: DataFrame, similarity: float) -> DataFrame:
         large = sized.where(F.col("size") > NODE)
         if depth == DEPTH:
             links = links.union(large.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
-        elif sizes.where(F.col("size") > NODE).isEmpty():
+        elif sizes.where(F.col("size") > NODE).count() == 0:
             break
         else:
             rows = written(branched(large.select("tree", "key", "rep").join(live, "rep"), similarity).distinct(), "nodes")
@@ -276,7 +276,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = sets.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "words")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j", "rep")
+    # a family's pairs of blocks lie in a row, so that they meet in one task only where there are more of them than tasks
+    place = (F.pmod(F.xxhash64("family"), F.lit(parts)) + F.expr("j * (j + 1) div 2") + F.col("i")) % parts
+    place = place.cast("int")
+    dealt = dealt.repartitionById(parts, place).sortWithinPartitions("family", "i", "j", "rep")
     links = written(confirmed(dealt, percent), "confirmed")
 
     linked = components(links).withColumnRenamed("v", "rep")
