@@ -30,7 +30,7 @@ from motionframe.llm.common import runs, small_batches, table, written
 from motionframe.llm.shingles import BASE, U, mix, powers, raw
 from motionframe.llm.suffix_array import repeated
 
-GROUP = 128
+GROUP = 64
 SORTED_BYTES = 700_000
 WIDEST = WINDOW - GRAM
 SPANS = "key long, start long, end long"
