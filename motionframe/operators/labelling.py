@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.functions.pixels import is_on
+from motionframe.operators.stencil import with_taps
 
 PRIOR = ((-1, -1), (-1, 0), (-1, 1), (0, -1))
 AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
@@ -25,8 +26,7 @@ def prior_neighbours(binary: DataFrame) -> DataFrame:
     Rows and columns are compared apart, so the last pixel of a row never touches the first of the next.
     """
     on = _on(binary)
-    w = F.broadcast(on.sparkSession.createDataFrame(list(PRIOR), "dy int, dx int"))
-    ask = on.join(w).select("*", (F.col("y") + F.col("dy")).alias("ny"), (F.col("x") + F.col("dx")).alias("nx")).drop("dy", "dx")
+    ask = with_taps(on, PRIOR).select("*", (F.col("y") + F.col("dy")).alias("ny"), (F.col("x") + F.col("dx")).alias("nx")).drop("dy", "dx")
     near = on.select("frame_id", F.col("y").alias("ny"), F.col("x").alias("nx"))
     return ask.join(near, ["frame_id", "ny", "nx"]).select("frame_id", "y", "x", "ny", "nx")
 
@@ -38,11 +38,9 @@ def components(binary: DataFrame, width: int, label_base: int = 1, most_rounds:
     the plan's growth.  Not settling within most_rounds is an error.
     """
     on = _on(binary)
-    spark = on.sparkSession
-    w = F.broadcast(spark.createDataFrame(list(AROUND), "dy int, dx int"))
     now = on.withColumn("label", F.col("y").cast("long") * width + F.col("x")).checkpoint()
     for _ in range(most_rounds):
-        spread = now.join(w).select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label")
+        spread = with_taps(now, AROUND).select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label")
         least = spread.groupBy("frame_id", "y", "x").agg(F.min("label").alias("least"))
         new = now.join(least, ["frame_id", "y", "x"])
         root = new.select("frame_id", (F.col("y").cast("long") * width + F.col("x")).alias("least"), F.col("least").alias("jump"))

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from motionframe.functions.kernels import disc, ellipse, runs
 from motionframe.functions.pixels import is_on
+from motionframe.operators.stencil import with_taps
 
 
 def _shifted(pixels: DataFrame, taps: tuple, height: int, width: int) -> DataFrame:
-    w = F.broadcast(pixels.sparkSession.createDataFrame(list(taps), "dy int, dx int"))
-    at = pixels.join(w).select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
+    at = with_taps(pixels, taps).select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
     return at.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
 
 

@@ -1,4 +1,4 @@
-"""Neighbourhood operators on pixel tables, as joins with small tables of taps and sums.
+"""Neighbourhood operators on pixel tables: shifted copies by a constant list of taps, and sums.
 
 All of them group by (frame_id, y, x).  Pixels that are partitioned by frame_id - see ``by_frame`` - already satisfy
 that, so a whole chain of these operators shuffles once, and the many shifted copies of a pixel are summed where they arise.
@@ -18,6 +18,13 @@ def by_frame(pixels: DataFrame) -> DataFrame:
     return pixels.repartition(F.col("frame_id"))
 
 
+def with_taps(pixels: DataFrame, taps: list | tuple, names: str = "dy dx") -> DataFrame:
+    """pixels with each of the taps: a constant array exploded in generated code, so there is neither a join nor a broadcast."""
+    names = names.split()
+    rows = ", ".join("named_struct(" + ", ".join(f"'{n}', {v}L" if n == "w" else f"'{n}', {v}" for n, v in zip(names, t, strict=True)) + ")" for t in taps)
+    return pixels.select("*", F.expr(f"inline(array({rows}))"))
+
+
 def axis(spark, n: int, reach: int, border: str) -> list[tuple[int, int, int]]:
     """(source, target, offset) along one axis: target + offset is source, mirrored at the edges if border says so."""
     out = []
@@ -34,17 +41,16 @@ def axis(spark, n: int, reach: int, border: str) -> list[tuple[int, int, int]]:
 
 def correlated(pixels: DataFrame, taps: tuple, height: int, width: int, border: str = "zero") -> DataFrame:
     """(frame_id, y, x, total): the sum of weight * pixel over the taps, unflipped; beyond the frame 0 or mirrored."""
-    spark = pixels.sparkSession
-    w = spark.createDataFrame(list(taps) or [(0, 0, 0)], "dy int, dx int, w long")
+    spark, taps = pixels.sparkSession, list(taps) or [(0, 0, 0)]
     if border == "zero":
         ty, tx = F.col("y") - F.col("dy"), F.col("x") - F.col("dx")
-        near = pixels.join(F.broadcast(w)).select("frame_id", ty.alias("y"), tx.alias("x"), (F.col("v") * F.col("w")).alias("p"))
+        near = with_taps(pixels, taps, "dy dx w").select("frame_id", ty.alias("y"), tx.alias("x"), (F.col("v") * F.col("w")).alias("p"))
         near = near.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     else:
         ry, rx = (max((abs(t[k]) for t in taps), default=0) for k in (0, 1))
         rows = F.broadcast(spark.createDataFrame(axis(spark, height, ry, border), "y int, ty int, dy int"))
         cols = F.broadcast(spark.createDataFrame(axis(spark, width, rx, border), "x int, tx int, dx int"))
-        near = pixels.join(rows, "y").join(cols, "x").join(F.broadcast(w), ["dy", "dx"])
+        near = pixels.join(rows, "y").join(cols, "x").join(F.broadcast(spark.createDataFrame(taps, "dy int, dx int, w long")), ["dy", "dx"])
         near = near.select("frame_id", F.col("ty").alias("y"), F.col("tx").alias("x"), (F.col("v") * F.col("w")).alias("p"))
     return near.groupBy("frame_id", "y", "x").agg(F.sum("p").alias("total"))
 
