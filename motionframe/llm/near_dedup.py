@@ -72,7 +72,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n long, f1 long, f2 long, sig binary")
 
 
-def by_size(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def by_size(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of (id, text) with about ``most`` bytes of text, whole texts each."""
     lens = np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64)
     group = np.cumsum(lens) // most

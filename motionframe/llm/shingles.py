@@ -31,8 +31,16 @@ def spaces() -> np.ndarray:
     return found
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, by doubling."""
+KEPT = (1 << 21) + (1 << 18)
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@cache
+def _kept_powers(base: int) -> np.ndarray:
+    return _powers(KEPT, base)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
     out = np.ones(max(1, n), U)
     have = 1
     while have < n:
@@ -42,6 +50,11 @@ def powers(n: int, base: int) -> np.ndarray:
     return out
 
 
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps the first KEPT of a base."""
+    return _kept_powers(base)[:n] if n <= KEPT else _powers(n, base)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A full 64-bit mixer, in place."""
     x ^= x >> U(32)
@@ -77,7 +90,7 @@ def word_hashes(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     s, e = np.flatnonzero(begin), np.flatnonzero(end)
     sums = np.zeros(n + 1, U)
     np.cumsum(byte_values()[data] * powers(n, BASE)[:n], out=sums[1:])
-    h = (sums[e] - sums[s]) * powers(n + 1, pow(BASE, -1, 1 << 64))[s]
+    h = (sums[e] - sums[s]) * powers(n + 1, INVERSE)[s]
     return mix(h), np.searchsorted(s, ends)
 
 

@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm.anchors import GRAM, WINDOW, anchors, raw_values
+from motionframe.llm.anchors import GRAM, WINDOW, anchors
 from motionframe.llm.common import runs, small_batches, table, written
-from motionframe.llm.shingles import BASE, U, mix, powers, raw
+from motionframe.llm.shingles import mix, raw
 from motionframe.llm.suffix_array import repeated
 
 GROUP = 64
@@ -41,14 +41,6 @@ def text_key(text) -> F.Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
 
 
-def string_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A hash of data[start:end] for each pair."""
-    n = len(data)
-    sums = np.zeros(n + 1, U)
-    np.cumsum(raw_values()[data] * powers(n, BASE)[:n], out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(n + 1, pow(BASE, -1, 1 << 64))[start])
-
-
 def packed(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return at << 16 | low << 8 | high
 
@@ -71,10 +63,9 @@ def noted(docs: DataFrame) -> DataFrame:
             data, ends = raw(b.column("text"))
             cols: list[list] = [[], [], [], [], []]
             for i, j in zip(ends[:-1], ends[1:], strict=True):
-                at, gram, low, high = anchors(text := data[i:j])
-                context = mix(string_hashes(text, at - high, at - low + WINDOW) + (low << 8 | high).astype(U)) if len(at) else gram
-                _, first, which, times = np.unique(np.stack([gram, context]), axis=1, return_index=True, return_inverse=True, return_counts=True)
-                twice = times[which.reshape(-1)] > 1 if len(at) else np.empty(0, bool)
+                at, gram, low, high, context = anchors(data[i:j])
+                _, first, which, times = np.unique(gram + mix(context.copy()), return_index=True, return_inverse=True, return_counts=True)
+                twice = times[which] > 1
                 s, e = merged((at - high)[twice], (at - low + WINDOW)[twice])
                 first = np.sort(first)
                 for c, v in zip(cols, (gram[first].view(np.int64), context[first].view(np.int64), packed(at, low, high)[first], s, e), strict=True):
