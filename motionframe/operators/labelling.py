@@ -6,6 +6,8 @@ still gets its label here, 0, since the background has no rows.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,9 @@ def components(binary: DataFrame, width: int, label_base: int = 1, most_rounds:
     the plan's growth.  Not settling within most_rounds is an error.
     """
     on = _on(binary)
+    context = on.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # spark.checkpoint.dir is unset, as in a local session
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="motionframe-"))
     now = on.withColumn("label", F.col("y").cast("long") * width + F.col("x")).checkpoint()
     for _ in range(most_rounds):
         spread = with_taps(now, AROUND).select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label")

@@ -6,6 +6,7 @@ forms bit for bit: blurs are summed in whole numbers, labels are first places in
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -269,6 +270,42 @@ def label_frames(packed: DataFrame, height: int, width: int, label_base: int = 1
     return packed.mapInArrow(task, "frame_id long, y int, x int, label long")
 
 
+def box_frames(packed: DataFrame, height: int, width: int, external: bool = False, label_base: int = 1) -> DataFrame:
+    """Boxes of packed binary frames."""
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for ids, frames in stacks(b, height, width):
+                yield boxes_of((frames & 1).astype(bool), ids, external, label_base)
+
+    return packed.mapInArrow(task, BOXES)
+
+
+STAGES = ("grayscale", "blur", "difference", "threshold", "morphology", "components and boxes")
+
+
+def timed_stages(packed: DataFrame, background: np.ndarray, p: DetectParams) -> DataFrame:
+    """(stage, frames, seconds) of each stack of frames that a task detects objects in."""
+    h, w = background.shape[:2]
+    ready = prepared(background[None], p)[0].astype(np.int16)
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for ids, frames in stacks(b, h, w):
+                marks = [time.perf_counter()]
+                mark = lambda value: (marks.append(time.perf_counter()), value)[1]  # noqa: B023, E731
+                grey = mark(frames if frames.ndim == 3 else gray(frames, p.gray))
+                soft = mark(blur(grey, p.ksize, p.sigma, p.border))
+                d = mark(np.abs(soft.astype(np.int16) - ready))
+                on = mark((d > p.threshold if p.strict else d >= p.threshold) & bool(p.maxval & 1))
+                on = mark(morphology(on, p))
+                mark(boxes_of(on, ids, p.external, p.label_base))
+                cols = [pa.array(STAGES), pa.array([len(ids)] * len(STAGES), pa.int64()), pa.array(np.diff(marks))]
+                yield pa.RecordBatch.from_arrays(cols, names=["stage", "frames", "seconds"])
+
+    return packed.select("frame_id", "height", "width", "n_channels", "data").mapInArrow(task, "stage string, frames long, seconds double")
+
+
 def render(packed: DataFrame, boxes: DataFrame, thickness: int = 2, text: str = "Detected", side_by_side: bool = True) -> DataFrame:
     """Packed colour frames with red outlines, beside the plain frame if asked; text goes along as a column."""
     box = F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes")

@@ -25,7 +25,7 @@ def with_taps(pixels: DataFrame, taps: list | tuple, names: str = "dy dx") -> Da
     return pixels.select("*", F.expr(f"inline(array({rows}))"))
 
 
-def axis(spark, n: int, reach: int, border: str) -> list[tuple[int, int, int]]:
+def axis(n: int, reach: int, border: str) -> list[tuple[int, int, int]]:
     """(source, target, offset) along one axis: target + offset is source, mirrored at the edges if border says so."""
     out = []
     for target in range(n):
@@ -48,8 +48,8 @@ def correlated(pixels: DataFrame, taps: tuple, height: int, width: int, border:
         near = near.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     else:
         ry, rx = (max((abs(t[k]) for t in taps), default=0) for k in (0, 1))
-        rows = F.broadcast(spark.createDataFrame(axis(spark, height, ry, border), "y int, ty int, dy int"))
-        cols = F.broadcast(spark.createDataFrame(axis(spark, width, rx, border), "x int, tx int, dx int"))
+        rows = F.broadcast(spark.createDataFrame(axis(height, ry, border), "y int, ty int, dy int"))
+        cols = F.broadcast(spark.createDataFrame(axis(width, rx, border), "x int, tx int, dx int"))
         near = pixels.join(rows, "y").join(cols, "x").join(F.broadcast(spark.createDataFrame(taps, "dy int, dx int, w long")), ["dy", "dx"])
         near = near.select("frame_id", F.col("ty").alias("y"), F.col("tx").alias("x"), (F.col("v") * F.col("w")).alias("p"))
     return near.groupBy("frame_id", "y", "x").agg(F.sum("p").alias("total"))

@@ -8,7 +8,7 @@ than ``PIXEL_BUDGET`` pixels, where shifted copies of every pixel would dominate
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motionframe.functions.pixels import is_on
@@ -85,6 +85,32 @@ def detect(frames: DataFrame, p: DetectParams, plan: str = "auto", height: int |
     return detect_relational(frames, p, height, width)
 
 
+#: A kernel of two values where a square was meant: this pixel and the one above.
+PROTOTYPE_TAPS = ((-1, 0), (0, 0))
+
+
+def detect_prototype(pixels: DataFrame, height: int, width: int, k: int = 1, threshold: int = 20, taps: tuple = PROTOTYPE_TAPS) -> DataFrame:
+    """The k largest outer objects by the order of an early form: grey opening of the difference, then a strict threshold.
+
+    Frames are blurred with sigma 0.2, the background with the sigma that a kernel of 5 implies, 1.1; borders are mirrored.
+    """
+    bg_id = S.background_id(pixels)
+    soft = stencil.blur(stencil.by_frame(pixels), 5, 0.2, height, width, "reflect101")
+    still = stencil.blur(pixels.where(F.col("frame_id") == bg_id), 5, 1.1, height, width, "reflect101")
+    diff = point.abs_diff(soft, point.background(still, bg_id), bg_id)
+    binary = point.threshold(morphology.gray_open(diff, taps, height, width), threshold, strict=True)
+    return boxes.topk(packed.box_frames(S.pack(binary, height, width), height, width, external=True), k)
+
+
+def stage_report(frames: DataFrame, p: DetectParams) -> DataFrame:
+    """(stage, frames, total_ms, frame_avg_ms, percent) of detecting objects in packed frames: seconds within the tasks, summed."""
+    bg_id, background = first_frame(frames)
+    times = packed.timed_stages(frames.where(F.col("frame_id") != bg_id), background, p)
+    sums = times.groupBy("stage").agg(F.sum("frames").alias("frames"), (1000 * F.sum("seconds")).alias("total_ms"))
+    share = 100 * F.col("total_ms") / F.sum("total_ms").over(Window.partitionBy())  # a row for each stage, six in all
+    return sums.select("stage", "frames", "total_ms", (F.col("total_ms") / F.col("frames")).alias("frame_avg_ms"), share.alias("percent"))
+
+
 def stage_summary(pixels: DataFrame, p: DetectParams, height: int, width: int) -> DataFrame:
     """(stage, n_frames, n_pixels, total): how many frames and pixels each stage leaves on, and the sum of its values."""
     stages = binary_stages(pixels, p, height, width, S.background_id(pixels))

@@ -23,6 +23,7 @@ STRESS = CPU.but(morph_ksize=9)
 GPU = PROFILES["gpu"].but(threshold=10)
 PER_FRAME = PROFILES["gpu_per_frame"].but(threshold=10, morph_ksize=5)
 OPENCV = PROFILES["opencv"].but(threshold=50, morph_ksize=3)
+PROTOTYPE = 75
 KERNEL = np.eye(3, dtype=int)
 
 
@@ -147,6 +148,7 @@ QUERIES = {
     "detect_gpu_profile": detected(GPU),
     "detect_dilate_only": detected(PER_FRAME),
     "detect_opencv_like": detected(OPENCV),
+    "detect_prototype": lambda s, d: D.detect_prototype(mosaics(s, d), MOSAIC, MOSAIC, 2, PROTOTYPE),
     "detect_relational": lambda s, d: D.detect(mosaics(s, d), STRESS, "relational", MOSAIC, MOSAIC),
     "detect_streaming": detect_streaming,
     "render_boxes_mask": lambda s, d: boxes.outline_pixels(detected(CPU)(s, d)),
@@ -190,9 +192,9 @@ def correlation(taps, n: int, source: str = "px", name: str = "s") -> str:
   WHERE y - dy BETWEEN 0 AND {n - 1} AND x - dx BETWEEN 0 AND {n - 1} GROUP BY 1, 2, 3)"""
 
 
-def mirrored(taps, n: int) -> str:
-    rows, cols = stencil.axis(None, n, 7, "reflect101"), stencil.axis(None, n, 7, "reflect101")
-    return f"""s AS (SELECT p.frame_id, a.ty AS y, c.tx AS x, sum(p.v * k.w)::BIGINT AS s FROM px p
+def mirrored(taps, n: int, reach: int = 7, source: str = "px") -> str:
+    rows = cols = stencil.axis(n, reach, "reflect101")
+    return f"""s AS (SELECT p.frame_id, a.ty AS y, c.tx AS x, sum(p.v * k.w)::BIGINT AS s FROM {source} p
   JOIN (SELECT * FROM {values(rows, 'y, ty, dy')}) a ON p.y = a.y JOIN (SELECT * FROM {values(cols, 'x, tx, dx')}) c ON p.x = c.x
   JOIN (SELECT * FROM {values(taps, 'dy, dx, w')}) k ON k.dy = a.dy AND k.dx = c.dx GROUP BY 1, 2, 3)"""
 
@@ -316,6 +318,14 @@ SQL = {
     "detect_gpu_profile": detect_sql(GPU),
     "detect_dilate_only": detect_sql(PER_FRAME),
     "detect_opencv_like": detect_sql(OPENCV, "SELECT box.* FROM box SEMI JOIN seen USING (frame_id, label)", OUTER),
+    "detect_prototype": query(
+        MOSAICS, "first AS (SELECT * FROM px WHERE frame_id = (SELECT min(frame_id) FROM px))", mirrored(gaussian_taps(5, 1.1), MOSAIC, 2, "first"),
+        f"""d AS (SELECT p.frame_id, p.y, p.x, CAST(abs(p.v - {ROUND}) AS INTEGER) AS v FROM px p JOIN s USING (y, x) WHERE p.frame_id <> s.frame_id)""",
+        f"o1 AS ({shifted(D.PROTOTYPE_TAPS, MOSAIC, 'd', 'min(v)')} GROUP BY 1, 2, 3)", f"o AS ({shifted(D.PROTOTYPE_TAPS, MOSAIC, 'o1', 'max(v)')} GROUP BY 1, 2, 3)",
+        f"m AS (SELECT frame_id, y, x, 255 AS v FROM o WHERE v > {PROTOTYPE})", labels(MOSAIC, "m"), BOX, OUTER, "ext AS (SELECT box.* FROM box SEMI JOIN seen USING (frame_id, label))",
+        RANKED.replace("FROM box", "FROM ext"),
+        last="SELECT frame_id, label, x, y, width, height, area FROM (SELECT *, max(CASE WHEN rank = 3 THEN area END) OVER (PARTITION BY frame_id) AS cut FROM rk) WHERE cut IS NULL OR area > cut",
+    ),
     "detect_relational": detect_sql(STRESS),
     "detect_streaming": detect_sql(CPU),
     "render_boxes_mask": detect_sql(CPU, """SELECT DISTINCT frame_id, CAST(y + a AS INTEGER) AS y, CAST(x + c AS INTEGER) AS x FROM (SELECT box.*, unnest(range(height)) AS a FROM box) q, (SELECT unnest(range(64)) AS c)

@@ -79,6 +79,19 @@ def test_stage_summary(spark):
     assert got["threshold"].n_pixels == 60 and got["morphology"].n_pixels == 60 and got["grayscale"].n_frames == 4
 
 
+def test_stage_report(spark):
+    got = {r.stage: r for r in D.stage_report(packed_frames(spark, *FRAMES), SMALL).collect()}
+    assert set(got) == set(packed.STAGES) and all(r.frames == 3 and r.total_ms >= 0 for r in got.values())
+    assert abs(sum(r.percent for r in got.values()) - 100) < 1e-6
+
+
+def test_prototype_keeps_the_largest(spark):
+    big = moved((2, 3), (12, 15))
+    big[2:9, 3:9] = 220
+    got = D.detect_prototype(pixel_table(spark, STILL, big), 20, 24).collect()
+    assert len(got) == 1 and (got[0].x, got[0].width) == (3, 6)
+
+
 def test_images_are_read_and_written(spark, tmp_path):
     colour = S.from_arrays(spark, [np.repeat(f[..., None], 3, axis=2) * np.array([1, 1, 0]) + np.array([0, 0, 7]) for f in FRAMES])
     assert sinks.write_pngs(colour, str(tmp_path / "png")) == 4
