@@ -167,7 +167,10 @@ def best_fit_packing(
                     at += lengths[i]
             yield from t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).to_batches()
 
-        return rows.repartitionById(n, pool_of("doc_id", "piece", "length", "ids_crc32", pools=n)).mapInArrow(task, schema)
+        # the row's place in the written table spreads rows that repeat; it is the same when a task runs again
+        own = pool_of("doc_id", "piece", "at", pools=n).alias("pool")
+        dealt = rows.withColumn("at", F.monotonically_increasing_id()).select(*rows.columns, own).repartitionById(n, F.col("pool"))
+        return dealt.drop("pool").mapInArrow(task, schema)
 
     full = cut.where(F.col("length") == capacity)
     first = written(deal(cut.where(F.col("length") < capacity), 0), "packed")
