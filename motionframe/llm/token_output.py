@@ -53,6 +53,16 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
 
 
+def put(fs: pafs.FileSystem, temp: str, name: str) -> None:
+    """Rename temp to name; where another attempt's file, which has the same bytes, is there already, it stays."""
+    try:
+        fs.move(temp, name)
+    except OSError:
+        if fs.get_file_info(name).type != pafs.FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
 class ShardWriter:
     """Holds one block of ids and the documents' places; memory doesn't follow the ids."""
 
@@ -191,7 +201,7 @@ def write_shards(
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(temp, name)
+            put(fs, temp, name)
             done.append((shard, len(writer.docs), writer.n_ids))
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], pa.int64()) for i in range(3)], names=["shard", "docs", "ids"])
 
