@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -93,3 +94,9 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark deletes the shuffle files of plans that nothing refers to when the driver's garbage is collected: ask for that now."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

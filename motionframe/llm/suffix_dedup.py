@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.llm.anchors import GRAM, WINDOW, anchors
-from motionframe.llm.common import runs, small_batches, table, written
+from motionframe.llm.common import release_shuffles, runs, small_batches, table, written
 from motionframe.llm.shingles import mix, raw
 from motionframe.llm.suffix_array import repeated
 
@@ -178,7 +178,9 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = removed_spans(texts, facts)
     copies = facts.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
     own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    release_shuffles(docs.sparkSession)
     few = written(copies.join(own, "key", "left").where("copies > 1 OR spans IS NOT NULL"), "removed")
+    release_shuffles(docs.sparkSession)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -220,6 +222,7 @@ def removed_spans(texts: DataFrame, facts: DataFrame) -> DataFrame:
     source = texts.join(reps, ["key"]).where(texts["doc_id"].eqNullSafe(reps["doc_id"])).select("key", texts["text"])
     source = source.join(written(wanted, "wanted"), "key").dropDuplicates(["key"])
     cut = written(contexts(source), "cut-contexts")
+    release_shuffles(texts.sparkSession)
     found.append(written(sorted_groups(cut.where(F.col("size") <= GROUP)), "spans"))
     large = cut.where(F.col("size") > GROUP)
     width = WIDEST + 1
