@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 from motionframe.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from motionframe.llm.common import fresh_path
 
+NEAR_PERCENT = 80  # op2's query has 85
+
 ORACLE_SQL = None  # toxicity is learnt and packing is a search; tests hold the stages against brute force
 
 
@@ -39,8 +41,8 @@ def once_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without near-duplicates: of each group of linked documents the smallest doc_id stays."""
-    return without(docs, near_dedup.near_dedup(docs))
+    """docs without near-duplicates: of each group of documents linked at a similarity of 0.8 the smallest doc_id stays."""
+    return without(docs, near_dedup.near_dedup(docs, percent=NEAR_PERCENT))
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

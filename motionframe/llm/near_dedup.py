@@ -2,7 +2,7 @@
 
 1. One scan turns each text into its set of five-word shingles and keeps doc_id, set size, a 128-bit fingerprint of
    the set and ``COORDINATES`` minwise tokens.  Documents of equal sets go on as one representative.
-2. ``TREES`` independent trees branch the representatives: a node picks one of the coordinates (at times two, so that
+2. Independent trees, as many as the threshold needs (``trees_at``), branch the representatives: a node picks one of the coordinates (at times two, so that
    a pair at the threshold is expected to survive each level) by a hash of its own path, and its members part by their
    minwise token there.  A node of at most ``NODE`` members is compared exhaustively on the signatures; a larger one
    branches again.  At depth ``DEPTH`` members of a node that is still large share so many tokens that they are taken
@@ -30,7 +30,6 @@ from motionframe.llm.shingles import U, mix, shingle_sets
 
 PERCENT = 85
 COORDINATES = 128
-TREES = 13
 SCREEN_TREES = 6
 DEPTH = 4
 NODE = 128
@@ -98,7 +97,7 @@ def chosen(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np.nd
 
 def trees_at(depth: int, similarity: float) -> int:
     """Trees whose small nodes at this depth are compared: enough that a pair at the threshold is missed by all with MISS."""
-    return min(TREES, math.ceil(math.log(MISS) / math.log(1 - similarity**depth)))
+    return math.ceil(math.log(MISS) / math.log(1 - similarity**depth)) if similarity < 1 else 1
 
 
 def first_nodes(sigs: DataFrame, trees: int) -> DataFrame:
@@ -162,10 +161,11 @@ def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def candidate_links(sigs: DataFrame, similarity: float) -> DataFrame:
     """(a, b) among representatives (rep, sig): joins at least all pairs at the threshold, but for MISS of them."""
-    screen = first_nodes(sigs, SCREEN_TREES)
+    trees = trees_at(DEPTH, similarity)
+    screen = first_nodes(sigs, max(SCREEN_TREES, trees_at(1, similarity)))
     shared = written(screen.groupBy("key").count().where("count > 1").select("key"), "screen")
     live = written(sigs.join(screen.join(shared, "key", "left_semi").select("rep").distinct(), "rep", "left_semi"), "live")
-    rows, links = written(first_nodes(live, TREES), "nodes"), None
+    rows, links = written(first_nodes(live, trees), "nodes"), None
     for depth in range(1, DEPTH + 1):
         sizes = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), "sizes")
         sized = rows.join(sizes, "key")

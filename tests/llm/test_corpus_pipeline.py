@@ -2,8 +2,8 @@ import hashlib
 import re
 
 import corpus_pipeline
-from motionframe.llm import registry, toxicity
-from tests.llm.helpers import WHITE, edited, near_components, prose, saved
+from motionframe.llm import near_dedup, registry, toxicity
+from tests.llm.helpers import WHITE, edited, near_components, prose, saved, shingles
 from tests.llm.test_filters import base_spans, labelled
 from tests.llm.test_tokens import check_packing
 
@@ -74,6 +74,16 @@ def test_stages_take_nulls_repeats_and_no_rows(spark, tmp_path):
         assert (docs.count() > n) if n else docs.count() == 0
 
 
+def test_near_copies_from_80_percent_on_go(spark, tmp_path):
+    texts = [t for g in range(12) for t in (prose(9000 + g, 200), edited(prose(9000 + g, 200), g, 3 + g % 4))]
+    sets, pairs = [shingles(t) for t in texts], range(0, len(texts), 2)
+    share = {i: len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in pairs}
+    assert sum(0.8 <= s < 0.85 for s in share.values()) > 2 and min(share.values()) < 0.8
+    left = corpus_pipeline.one_of_each_group(spark, table(spark, list(enumerate(texts))), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == sorted([*pairs, *(i + 1 for i in pairs if share[i] < 0.8)])
+    assert [near_dedup.trees_at(d, 0.8) for d in range(1, 5)] == [6, 10, 13, 18] and near_dedup.trees_at(4, 0.85) == 13
+
+
 def test_every_operator_has_a_query():
     assert [sum(k.startswith(f"op{n}_") for k in registry.QUERIES) for n in range(1, 11)] == [1] * 10
     assert set(registry.SQL) <= set(registry.QUERIES) and hashlib
