@@ -1,6 +1,7 @@
 """Best-fit packing of tokenised documents with a swap-based local search.
 
-Texts are tokenised once; only (doc_id, piece, start, length, crc) goes on.  Pieces of a full sequence stand alone.
+Texts are tokenised once and their ids written; only (row, doc_id, piece, length) goes on to the search, and each
+piece's ids are joined back to its place by its row number.  Pieces of a full sequence stand alone.
 The others are dealt by a hash of their key into pools of about ``pool_docs`` documents, each packed within one task:
 best fit by falling length, then a local search that exchanges pieces one for one, two for one, or moves them between
 underfull sequences whenever the sum of squared fills grows, which empties sequences.  The pieces of each pool's
@@ -18,36 +19,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm.common import narrowed, pool_of, table, written
+from motionframe.llm.common import narrowed, pool_of, small_batches, table, written
 from motionframe.llm.tokens import encoder
 
 CAPACITY = 4096
 POOL_DOCS = 60_000
 OPEN_FILL = 0.97
-FACTS = "doc_id long, piece int, start long, length long, ids_crc32 long"
+FACTS = "row long, doc_id long, piece int, start long, length long, ids binary"
+SEARCHED = "row long, doc_id long, piece int, length long"
+PACKED = "doc_id long, piece int, start long, length long, ids binary, ids_crc32 long, sequence_id long, offset long"
 
 
 def pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True,
 ) -> DataFrame:
-    """Each document's ids and end_id, cut every ``capacity`` ids where there are more: doc_id, piece, start, length, crc."""
+    """Each document's ids and end_id, cut every ``capacity`` ids where there are more: row, doc_id, piece, start, length, ids.
+
+    row numbers the pieces; ids are little-endian uint16 where the vocabulary allows (``id_type``), else uint32.
+    """
+    kind = id_type(tokenizer, end_id, spaceless)
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         tokens = encoder(tokenizer, spaceless)
+        row = TaskContext.get().partitionId() << 33
         for b in it:
-            out = []
+            out, size = [], 0
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.append(tokens.encode(text.as_py()), np.uint32(end_id)).astype("<u4")
+                ids = np.append(tokens.encode(text.as_py()), np.uint32(end_id)).astype(kind)
                 for k, s in enumerate(range(0, len(ids), capacity)):
                     part = ids[s : s + capacity]
-                    out.append((doc_id, k, s, len(part), zlib.crc32(part.tobytes())))
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
+                    out.append((row, doc_id, k, s, len(part), part.tobytes()))
+                    row += 1
+                size += ids.nbytes
+                if size > 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    small_batches(docs.sparkSession)
     return narrowed(docs, id_col, text_col).mapInArrow(cut, FACTS)
 
 
+def id_type(tokenizer: str, end_id: int, spaceless: bool) -> str:
+    return "<u2" if max(encoder(tokenizer, spaceless).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+
+
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     """Bins of item numbers: by falling length, each item into the fullest bin that has room."""
     bins: list[list[int]] = []
@@ -138,14 +159,16 @@ def best_fit_packing(
     tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True,
     pool_docs: int = POOL_DOCS, open_fill: float = OPEN_FILL,
 ) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece, sequences gapless from 0.
+    """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset: one row for each piece, sequences gapless from 0.
 
+    ids are the piece's ids as little-endian uint32: those of a sequence's pieces, by offset, are the packed sequence.
     A null or empty text is one piece of end_id alone.  Only documents of more than ``capacity`` ids are cut.  Rows
     that repeat are packed as often as they come, null ids too.  An empty table gives an empty result.
     """
     cut = written(pieces(docs, id_col, text_col, capacity, tokenizer, end_id, spaceless), "pieces")
-    spark = cut.sparkSession
-    schema = f"{FACTS}, sequence_id long, offset long"
+    searched = cut.select("row", "doc_id", "piece", "length")
+    schema = f"{SEARCHED}, sequence_id long, offset long"
+    kind = id_type(tokenizer, end_id, spaceless)
 
     def deal(rows: DataFrame, level: int) -> DataFrame:
         n = sized_pools(rows.count(), pool_docs)
@@ -156,7 +179,7 @@ def best_fit_packing(
             held = [b for b in it if b.num_rows]
             if not held:
                 return
-            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
+            t = pa.Table.from_batches(held).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("length", "ascending"), ("row", "ascending")]).combine_chunks()
             lengths = t.column("length").to_pylist()
             seq, off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             base = (level << 60) + (TaskContext.get().partitionId() << 32)
@@ -167,19 +190,26 @@ def best_fit_packing(
                     at += lengths[i]
             yield from t.append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off)).to_batches()
 
-        # the row's place in the written table spreads rows that repeat; it is the same when a task runs again
-        own = pool_of("doc_id", "piece", "at", pools=n).alias("pool")
-        dealt = rows.withColumn("at", F.monotonically_increasing_id()).select(*rows.columns, own).repartitionById(n, F.col("pool"))
+        # the row number spreads rows that repeat; it is the same when a task runs again
+        dealt = rows.select(*rows.columns, pool_of("row", pools=n).alias("pool")).repartitionById(n, F.col("pool"))
         return dealt.drop("pool").mapInArrow(task, schema)
 
-    full = cut.where(F.col("length") == capacity)
-    first = written(deal(cut.where(F.col("length") < capacity), 0), "packed")
+    def widened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids = [np.frombuffer(x, kind).astype("<u4").tobytes() for x in b.column("ids").to_pylist()]
+            cols = [*b.columns[:4], pa.array(ids, pa.binary()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), *b.columns[5:]]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids", "ids_crc32", "sequence_id", "offset"])
+
+    first = written(deal(searched.where(F.col("length") < capacity), 0), "packed")
     fills = first.groupBy("sequence_id").agg(F.sum("length").alias("filled")).where(F.col("filled") < open_fill * capacity)
-    loose = written(first.join(fills.select("sequence_id"), "sequence_id", "left_semi").select(*first.columns[:5]), "loose")
-    kept = first.join(fills.select("sequence_id"), "sequence_id", "left_anti").select(*first.columns)
-    # a full piece is known by its key; rows that repeat a key need numbers of their own, so each takes its row's
-    alone = full.withColumn("sequence_id", F.monotonically_increasing_id() + F.lit(1 << 61)).withColumn("offset", F.lit(0).cast("long"))
-    return kept.unionByName(deal(loose, 1)).unionByName(written(alone, "full"))
+    loose = written(first.join(fills.select("sequence_id"), "sequence_id", "left_semi").select(*searched.columns), "loose")
+    place = ("row", "sequence_id", "offset")
+    kept = first.join(fills.select("sequence_id"), "sequence_id", "left_anti").select(*place)
+    # a full piece's sequence is known by its row number
+    alone = searched.where(F.col("length") == capacity).select("row", (F.col("row") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    places = written(kept.unionByName(deal(loose, 1).select(*place)).unionByName(alone), "places")
+    whole = cut.join(places.hint("shuffle_hash"), "row").select("doc_id", "piece", "start", "length", "ids", "sequence_id", "offset")
+    return whole.mapInArrow(widened, PACKED)
 
 
 def sized_pools(rows: int, per_pool: int) -> int:
@@ -187,4 +217,5 @@ def sized_pools(rows: int, per_pool: int) -> int:
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    out = best_fit_packing(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

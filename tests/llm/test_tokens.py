@@ -112,6 +112,23 @@ def test_op5_repeated_and_null_ids(spark):
     assert len({r.sequence_id for r in full}) == len(full) == len(rows) - 3
 
 
+def test_op5_carries_the_ids_of_its_sequences(spark):
+    texts = ODD + [prose(i, 30 + 40 * i) for i in range(40)] + [prose(1, 20)] * 5
+    docs = documents(spark, texts).select("doc_id", "text")
+    rows = packing.best_fit_packing(docs.union(docs.where("doc_id < 20")).repartition(3), pool_docs=20).collect()
+    whole = library("word_bpe_49k.json")
+    sequences, found = {}, {}
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        sequences[r.sequence_id] = sequences.get(r.sequence_id, []) + np.frombuffer(bytes(r.ids), "<u4").tolist()
+    for r in rows:
+        found.setdefault((r.doc_id, r.start), []).append(sequences[r.sequence_id][r.offset : r.offset + r.length])
+    for i, t in enumerate(texts):
+        ids = [*whole(t), 1]
+        for s in range(0, len(ids), 4096):
+            assert found.pop((i, s)) == [ids[s : s + 4096]] * (2 if i < 20 else 1)
+    assert not found and max(map(len, sequences.values())) <= 4096
+
+
 def test_local_search_empties_bins():
     lengths = [60, 30, 40, 70, 30, 50, 20]
     bins = [[0, 1], [2, 4], [3], [5], [6]]  # 90, 70, 70, 50, 20
