@@ -2,14 +2,14 @@
 
 The agenda of a BPE model takes the best-scored merge of two neighbouring pieces, the leftmost of equals, until none is
 left.  Here a merge that comes up is skipped - for good, unless a neighbour changes - when a hash keyed by the seed, the
-variant, the word, the place and the merge is below the dropout rate.  Every segmentation is made of the model's merges
-and decodes to its text.  A text draws one of ``variants`` keys from a hash of its doc_id and the seed.  Words that a worker meets together run
-their agendas side by side as rows of a matrix; long ones run alone, with a heap.
+doc_id, the word's place in the text, the place in the word and the merge is below the dropout rate.  Every segmentation
+is made of the model's merges and decodes to its text.  A worker remembers words' agendas without dropout only: each
+time a word stands in a text its merges are drawn anew, and where one is skipped the word runs its agenda again, those
+of a batch side by side as rows of a matrix; long words run alone, with a heap.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import re
 import zlib
@@ -27,12 +27,13 @@ from motionframe.llm.shingles import U, mix
 
 DROPOUT = 0.1
 SEED = 2024
-VARIANTS = 4
 WIDTHS = (8, 16, 32)
 WORDS = 150_000
 SPACE = "▁"
 RUNS = re.compile(" *[^ ]+| +")
 DEAD, UNKNOWN = -2, -1
+MASK = (1 << 64) - 1
+NO_ID = 0x632BE59BD9B4E019
 
 
 class Model:
@@ -46,6 +47,8 @@ class Model:
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         # a space is the model's letter for it; that letter in a text is spelt in bytes, so that it comes back
         self.letter = {" " if p == SPACE else p: i for p, i in plain.items() if len(p) == 1}
+        self.letter_of = np.full(0x110000, UNKNOWN, np.int32)
+        self.letter_of[[ord(c) for c in self.letter]] = list(self.letter.values())
         pairs = {}
         for p, i in plain.items():
             for k in range(1, len(p)):
@@ -82,20 +85,39 @@ def model(name: str) -> Model:
     return Model(name)
 
 
-def word_key(word: str, seed: int, variant: int) -> int:
-    return zlib.crc32(word.encode()) | (seed * 1_000_003 + variant & 0xFFFFFFFF) << 32
+def mixed(x: int) -> int:
+    """shingles.mix of one number."""
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    return x ^ x >> 32
 
 
-def skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, rate: float) -> np.ndarray:
-    h = mix(mix(key ^ place.astype(U) << U(20)) + piece.astype(U))
+def doc_key(seed: int, doc_id: int | None, text: str = "") -> int:
+    """What a text's draws start from; one without doc_id has its own bytes for that."""
+    own = (doc_id & MASK) if doc_id is not None else zlib.crc32(text.encode()) ^ NO_ID
+    return mixed(mixed(seed * 0x9E3779B97F4A7C15 & MASK) ^ own)
+
+
+def word_keys(docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key for each word, by its text's key and its place in the text."""
+    return mix(docs + places.astype(U) * U(0xD1B54A32D192ED03))
+
+
+def skipped(key: np.ndarray, place: np.ndarray, merge: np.ndarray, rate: float) -> np.ndarray:
+    """Whether the word with this key skips the merge (left * size + right) at this place in it."""
+    h = mix(key + mix(place.astype(U) << U(40) ^ merge.astype(U)))
     return (h >> U(11)).astype(float) < rate * 2**53
 
 
-def one_word(m: Model, word: str, seed: int, variant: int, rate: float) -> list[int]:
+def one_word(m: Model, word: str, seed: int, doc_id: int | None, rate: float, place: int = 0) -> list[int]:
     """The agenda as a heap, for a word of any length."""
+    return _on_heap(m, word, int(word_keys(np.array([doc_key(seed, doc_id)], U), np.array([place]))[0]), rate)
+
+
+def _on_heap(m: Model, word: str, key: int, rate: float) -> list[int]:
     ids, n = m.letters(word), len(word)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    key = np.array([word_key(word, seed, variant)], U)
+    most = rate * 2**53
     agenda: list[tuple] = []
 
     def propose(i: int) -> None:
@@ -109,7 +131,7 @@ def one_word(m: Model, word: str, seed: int, variant: int, rate: float) -> list[
         _, i, p, left, right, j = heapq.heappop(agenda)
         if ids[i] != left or after[i] != j or ids[j] != right:
             continue
-        if rate and skipped(key, np.array([i]), np.array([p]), rate)[0]:
+        if rate and mixed(key + mixed(i << 40 ^ left * m.size + right) & MASK) >> 11 < most:
             continue
         ids[i], ids[j], after[i] = p, DEAD, after[j]
         if after[j] < n:
@@ -119,28 +141,37 @@ def one_word(m: Model, word: str, seed: int, variant: int, rate: float) -> list[
     return [x for i, c in zip(ids, word, strict=True) if i != DEAD for x in ([i] if i >= 0 else m.unknown(c))]
 
 
-def many_words(m: Model, words: list[str], seed: int, variant: int, rate: float) -> list[bytes]:
+def many_words(m: Model, words: list[str], seed: int, doc_id: int | None, rate: float, place: int = 0) -> list[bytes]:
     """ids (little-endian uint32) of words of WIDTHS[-1] letters at most, agendas in step."""
+    docs, places = np.full(len(words), doc_key(seed, doc_id), U), np.full(len(words), place)
+    return _in_widths(m, words, word_keys(docs, places), rate)
+
+
+def _in_widths(m: Model, words: list[str], keys: np.ndarray, rate: float, merges: list | None = None) -> list[bytes]:
+    """merges, where given, gets arrays of (word's number here, place, merge), each word's in their order."""
     out: list[bytes] = [b""] * len(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
     for low, wide in zip((0, *WIDTHS), WIDTHS, strict=False):
-        own = [i for i, w in enumerate(words) if low < len(w) <= wide]
+        own = np.flatnonzero((low < lens) & (lens <= wide)).tolist()
         for s in range(0, len(own), 8192):
             part = own[s : s + 8192]
-            for i, b in zip(part, _in_step(m, [words[i] for i in part], wide, seed, variant, rate), strict=True):
+            made: list | None = None if merges is None else []
+            for i, b in zip(part, _in_step(m, [words[i] for i in part], wide, keys[part], rate, made), strict=True):
                 out[i] = b
+            if made:
+                merges += [(np.array(part)[row], at, merge) for row, at, merge in made]
     return out
 
 
-def _in_step(m: Model, words: list[str], wide: int, seed: int, variant: int, rate: float) -> list[bytes]:
+def _in_step(m: Model, words: list[str], wide: int, key: np.ndarray, rate: float, merges: list | None = None) -> list[bytes]:
     n = len(words)
     lens = np.array([len(w) for w in words])
     ids = np.full((n, wide + 1), DEAD, np.int64)
-    ids[np.arange(wide + 1) < lens[:, None]] = [x for w in words for x in m.letters(w)]
+    ids[np.arange(wide + 1) < lens[:, None]] = m.letter_of[np.frombuffer("".join(words).encode("utf-32-le"), "<u4")]
     after = np.tile(np.arange(1, wide + 2), (n, 1))
     before = np.tile(np.arange(-1, wide), (n, 1))
     piece, cost = m.merged(ids[:, :-1].ravel(), ids[:, 1:].ravel())
     piece, cost = piece.reshape(n, wide), cost.reshape(n, wide)
-    key = np.array([word_key(w, seed, variant) for w in words], U)
     live = np.arange(n)
     while len(live):
         at = cost[live].argmin(axis=1)
@@ -150,7 +181,10 @@ def _in_step(m: Model, words: list[str], wide: int, seed: int, variant: int, rat
             break
         made = piece[live, at]
         cost[live, at] = np.inf
-        go = ~skipped(key[live], at, made, rate) if rate else np.ones(len(live), bool)
+        merge = ids[live, at] * m.size + ids[live, after[live, at]]
+        if merges is not None:
+            merges.append((live, at, merge))
+        go = ~skipped(key[live], at, merge, rate) if rate else np.ones(len(live), bool)
         r, a, p = live[go], at[go], made[go]
         j = after[r, a]
         ids[r, a], ids[r, j], cost[r, np.minimum(j, wide - 1)] = p, DEAD, np.inf
@@ -173,12 +207,26 @@ def _in_step(m: Model, words: list[str], wide: int, seed: int, variant: int, rat
 
 
 class Encoder:
-    def __init__(self, name: str, seed: int, rate: float, variants: int):
-        self.m, self.seed, self.rate, self.variants = model(name), seed, rate, variants
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-
-    def variant(self, doc_id: int | None) -> int:
-        return hashlib.blake2b(b"%d:%d" % (self.seed, doc_id or 0), digest_size=4).digest()[0] % self.variants
+    def __init__(self, name: str, seed: int, rate: float):
+        self.m, self.seed, self.rate = model(name), seed, rate
+        self.forget()
+
+    def forget(self) -> None:
+        """No words known: number of each word, ids and merges of its agenda without dropout, by number."""
+        self.number: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.what = np.empty((2, 0), np.int64)
+        self.begin = np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        merges: list[tuple[np.ndarray, ...]] = []
+        self.plain += _in_widths(self.m, words, np.zeros(len(words), U), 0.0, merges)
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words)), strict=True))
+        if merges:
+            word, *what = map(np.concatenate, zip(*merges, strict=True))
+            self.what = np.concatenate([self.what, np.array(what)[:, np.argsort(word, kind="stable")]], axis=1)
+        counts = np.bincount(word, minlength=len(words)) if merges else np.zeros(len(words), np.int64)
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
 
     def words(self, text: str) -> list[str]:
         """The text behind the space that every text gets, cut before each run of spaces and around each line feed."""
@@ -199,19 +247,36 @@ class Encoder:
 
     def encode(self, doc_ids: list[int | None], texts: list[str]) -> list[bytes]:
         """ids of each text, little-endian uint32; an empty text has none."""
-        cut = [(self.variant(d), self.words(t) if t else []) for d, t in zip(doc_ids, texts, strict=True)]
-        for v, known in enumerate(self.known):
-            if len(known) > WORDS:
-                known.clear()
-            new = list({w for own, ws in cut if own == v for w in ws if w not in known})
-            short = [w for w in new if len(w) <= WIDTHS[-1]]
-            known.update(zip(short, many_words(self.m, short, self.seed, v, self.rate), strict=True))
-            known.update((w, array("I", one_word(self.m, w, self.seed, v, self.rate)).tobytes()) for w in new if len(w) > WIDTHS[-1])
-        out = [b"".join(map(self.known[v].__getitem__, ws)) for v, ws in cut]
-        for known in self.known:  # long words aren't kept
-            for w in [w for w in known if len(w) > WIDTHS[-1]]:
-                del known[w]
-        return out
+        cut = [self.words(t) if t else [] for t in texts]
+        counts = np.array([len(ws) for ws in cut], np.int64)
+        flat = [w for ws in cut for w in ws]
+        ends = np.cumsum(counts)
+        docs = np.array([doc_key(self.seed, d, t) for d, t in zip(doc_ids, texts, strict=True)], U)
+        keys = word_keys(np.repeat(docs, counts), np.arange(len(flat)) - np.repeat(ends - counts, counts))
+        if len(self.number) > WORDS:
+            self.forget()
+        self.learn([w for w in dict.fromkeys(flat) if len(w) <= WIDTHS[-1] and w not in self.number])
+        number = np.fromiter((self.number.get(w, -1) for w in flat), np.int64, len(flat))
+        out = [self.plain[i] if i >= 0 else b"" for i in number.tolist()]
+        again = self.hit(number, keys).tolist() if self.rate else []
+        for i, ids in zip(again, _in_widths(self.m, [flat[i] for i in again], keys[again], self.rate), strict=True):
+            out[i] = ids
+        for i in np.flatnonzero(number < 0).tolist():
+            out[i] = array("I", _on_heap(self.m, flat[i], int(keys[i]), self.rate)).tobytes()
+        return [b"".join(out[e - n : e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
+    def hit(self, number: np.ndarray, keys: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+        """Which of the known words skip a merge of their agenda without dropout."""
+        found = [np.empty(0, np.int64)]
+        known = np.flatnonzero(number >= 0)
+        for s in range(0, len(known), most):
+            own = known[s : s + most]
+            begin = self.begin[number[own]]
+            n = self.begin[number[own] + 1] - begin
+            at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+            gone = skipped(np.repeat(keys[own], n), self.what[0, at], self.what[1, at], self.rate)
+            found.append(own[np.unique(np.repeat(np.arange(len(own)), n)[gone])])
+        return np.concatenate(found)
 
 
 def decoded(m: Model, ids: np.ndarray) -> str:
@@ -220,17 +285,17 @@ def decoded(m: Model, ids: np.ndarray) -> str:
 
 def encode(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "piece_bpe_32k.model",
-    seed: int = SEED, dropout: float = DROPOUT, variants: int = VARIANTS,
+    seed: int = SEED, dropout: float = DROPOUT,
 ) -> DataFrame:
     """doc_id, ids (binary, little-endian uint32), n_ids: one row per input row.
 
     A null or empty text has no ids.  dropout 0 gives the model's own segmentation.  The same seed, doc_id and text give
-    the same ids, on any partitioning; rows without doc_id share a variant.  Other columns are ignored.
+    the same ids, on any partitioning; a row without doc_id draws by its text.  Other columns are ignored.
     """
     small_batches(docs.sparkSession)
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Encoder(name, seed, dropout, variants)
+        own = Encoder(name, seed, dropout)
         for b in it:
             ids = own.encode(b.column(0).to_pylist(), b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["doc_id", "ids", "n_ids"])

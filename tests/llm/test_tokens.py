@@ -172,3 +172,15 @@ def test_agendas_in_step_equal_the_heap():
         got = pieces.many_words(m, words, 3, 1, rate)
         assert [np.frombuffer(b, "<u4").tolist() for b in got] == [pieces.one_word(m, w, 3, 1, rate) for w in words]
     assert pieces.one_word(m, " " + "ab" * 20_000, 1, 0, 0.1)
+
+
+def test_dropout_is_drawn_for_each_word_of_each_document():
+    m, word = pieces.model("piece_bpe_32k.model"), " international"
+    own = pieces.Encoder("piece_bpe_32k.model", 3, 0.3)
+    texts = [word[1:] + word * 60 for _ in range(40)] + ["x" * 50 + word * 3, "", "a  b\nthe thing " + "y" * 40]
+    got = own.encode([*range(40), None, 41, 42], texts)
+    for d, (t, ids) in enumerate(zip(texts, got, strict=True)):
+        if d != 40:
+            assert np.frombuffer(ids, "<u4").tolist() == [x for k, w in enumerate(own.words(t) if t else []) for x in pieces.one_word(m, w, 3, d, 0.3, k)]
+    ways = [{tuple(pieces.one_word(m, word, 3, d, 0.3, k)) for k in range(61)} for d in range(40)]
+    assert min(map(len, ways)) > 4 and len(set().union(*ways)) > 20 and len(set(got[:40])) == 40
