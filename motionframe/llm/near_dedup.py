@@ -1,7 +1,8 @@
 """Near-duplicate detection by a chosen-path set similarity join over MinHash signatures.
 
 1. One scan turns each text into its set of five-word shingles and keeps doc_id, set size, a 128-bit fingerprint of
-   the set and ``COORDINATES`` minwise tokens.  Documents of equal sets go on as one representative.
+   the set and ``COORDINATES`` minwise tokens.  Documents of equal sets go on as one representative, known by a
+   hash of the fingerprint and size (``rep``), since rows of one doc_id may have unlike texts.
 2. Independent trees, as many as the threshold needs (``trees_at``), branch the representatives: a node picks one of the coordinates (at times two, so that
    a pair at the threshold is expected to survive each level) by a hash of its own path, and its members part by their
    minwise token there.  A node of at most ``NODE`` members is compared exhaustively on the signatures; a larger one
@@ -10,7 +11,7 @@
 3. Families are the components of those links.  Each member's full set is made anew and shipped to its family; within
    it, all pairs are compared on full sets.  Large families are cut into blocks of ``BLOCK`` members and each pair of
    blocks is a group of its own, so no task holds a family.
-4. The confirmed links' components are the result.
+4. The components of the confirmed links, and of links between the sets that share a doc_id, are the result.
 """
 
 from __future__ import annotations
@@ -53,7 +54,7 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, f1, f2, sig of (doc_id, text); n = 0 has no signature."""
+    """doc_id, text_key, n, f1, f2, sig of (doc_id, text, text_key); n = 0 has no signature."""
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients()
@@ -64,11 +65,11 @@ def signatures(docs: DataFrame) -> DataFrame:
                 f2 = np.array([mix(s * SET_HASH).sum(dtype=U) for s in sets], U)
                 sigs = [signature(s, a, b).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sigs, pa.binary())],
-                    names=["doc_id", "n", "f1", "f2", "sig"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), pa.array(sigs, pa.binary())],
+                    names=["doc_id", "text_key", "n", "f1", "f2", "sig"],
                 )
 
-    return docs.mapInArrow(task, "doc_id long, n long, f1 long, f2 long, sig binary")
+    return docs.mapInArrow(task, "doc_id long, text_key long, n long, f1 long, f2 long, sig binary")
 
 
 def by_size(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
@@ -259,19 +260,20 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     component_id null, kept true.  Rows of one doc_id are one document.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    texts, similarity = narrowed(docs, id_col, text_col), percent / 100
-    facts = written(signatures(texts), "signatures")
-    worded = facts.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    reps = written(worded.groupBy("f1", "f2", "n").agg(F.min("doc_id").alias("rep")), "representatives")
-    sigs = worded.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig", "n")
-    sigs = written(sigs.dropDuplicates(["rep"]), "rep-signatures")
+    texts, similarity = narrowed(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")), percent / 100
+    facts = written(signatures(texts), "signatures").withColumn("rep", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n")))
+    worded = facts.where(F.col("rep").isNotNull() & F.col("doc_id").isNotNull())
+    reps = written(worded.groupBy("rep").agg(F.min("doc_id").alias("least")), "representatives")
+    first = worded.join(reps.select("rep", F.col("least").alias("doc_id")), ["rep", "doc_id"], "left_semi")
+    sigs = written(first.select("rep", "doc_id", "text_key", "sig", "n").dropDuplicates(["rep"]), "rep-signatures")
 
     families = written(components(candidate_links(sigs.select("rep", "sig"), similarity)), "families")
     sizes = families.join(sigs.select(F.col("rep").alias("v"), "n"), "v").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     sizes = written(sizes.select("component", blocks), "family-sizes")
-    member = written(families.join(sizes, "component").select(F.col("v").alias("doc_id"), F.col("component").alias("family"), "blocks"), "members")
-    sets = full_sets(texts.join(member, "doc_id").withColumnRenamed("doc_id", "rep").dropDuplicates(["rep"]))
+    member = families.join(sizes, "component").select(F.col("v").alias("rep"), F.col("component").alias("family"), "blocks")
+    member = written(member.join(sigs.select("rep", "doc_id", "text_key"), "rep"), "members")
+    sets = full_sets(texts.join(member, ["doc_id", "text_key"]).dropDuplicates(["rep"]))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = sets.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "words")
@@ -282,10 +284,18 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = dealt.repartitionById(parts, place).sortWithinPartitions("family", "i", "j", "rep")
     links = written(confirmed(dealt, percent), "confirmed")
 
-    linked = components(links).withColumnRenamed("v", "rep")
-    roots = written(reps.join(linked, "rep", "left").select("f1", "f2", "n", F.coalesce("component", "rep").alias("root")), "roots")
-    # Rows of one doc_id with unlike texts are one document: their components meet.  Seldom any, so found first.
-    out = facts.join(roots, ["f1", "f2", "n"], "left")
+    # rows of one doc_id with unlike texts are one document: their sets are linked
+    several = facts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("n").alias("fewest"))
+    several = written(several.where("a <> b OR (fewest = 0 AND a IS NOT NULL)").select("doc_id", "a"), "several-texts")
+    links = links.union(worded.select("doc_id", "rep").join(several, "doc_id").select("a", F.col("rep").alias("b")))
+
+    linked = written(components(links).withColumnRenamed("v", "rep").join(reps, "rep"), "linked")
+    least = linked.groupBy("component").agg(F.min("least").alias("root"))
+    rooted = linked.join(least, "component").select("rep", "root")
+    roots = written(reps.join(rooted, "rep", "left").select("rep", F.coalesce("root", "least").alias("root")), "roots")
+    wordless = facts.where(F.col("rep").isNull()).drop("rep").join(several, "doc_id", "left").withColumnRenamed("a", "rep")
+    names = ("doc_id", "n", "rep")
+    out = facts.where(F.col("rep").isNotNull()).select(*names).union(wordless.select(*names)).join(roots, "rep", "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id")).cast("long")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"),

@@ -79,6 +79,15 @@ def test_op2_nulls_repeats_and_no_rows(spark):
     assert near_dedup.near_dedup(docs.where("false")).count() == 0
 
 
+def test_op2_unlike_texts_of_one_id(spark):
+    a, b, c = prose(21, 80), prose(22, 80), prose(23, 80)
+    rows = [(7, a), (7, b), (7, None), (3, b), (9, edited(a, 1, 1)), (12, edited(b, 2, 1)), (5, c), (8, c), (8, edited(prose(24, 80), 1, 1)), (4, prose(24, 80)), (6, ""), (20, a)]
+    for k in range(2):
+        docs = spark.createDataFrame(rows[:: 1 - 2 * k], "doc_id long, text string")
+        got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_dedup(docs).collect()}
+        assert got == {(i, c, i == c) for i, c in [(7, 3), (3, 3), (9, 3), (12, 3), (20, 3), (5, 4), (8, 4), (4, 4), (6, 6)]}
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(0, 200, 40)]
