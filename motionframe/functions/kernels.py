@@ -7,6 +7,7 @@ from functools import cache
 
 import numpy as np
 
+FIXED_LINE = (1, 4, 6, 4, 1)  # fixed values: the public library's kernel of 5 where no sigma is given
 SCALE_BITS = 47  # single-precision weights are whole numbers at this scale, and 255 times their sum fits in 55 bits
 
 
@@ -20,9 +21,26 @@ def gaussian_weights(ksize: int, sigma: float) -> np.ndarray:
     return (taps / taps.astype(np.float64).sum()).astype(np.float32)
 
 
+def gaussian_line(ksize: int, sigma: float) -> list[float]:
+    """Weights along one axis, whose products are those of the square kernel but for its rounding to single precision."""
+    if sigma <= 0:
+        return [w / sum(FIXED_LINE) for w in FIXED_LINE]
+    d = np.arange(-(ksize // 2), ksize // 2 + 1, dtype=np.float64)
+    line = np.exp(-(d**2) / (2 * sigma * sigma))
+    return (line / line.sum()).tolist()
+
+
 @cache
 def gaussian_taps(ksize: int, sigma: float) -> tuple[tuple[int, int, int], ...]:
-    """(dy, dx, weight * 2**47), zero weights left out: sums of whole numbers don't depend on their order."""
+    """(dy, dx, weight * 2**47), zero weights left out: sums of whole numbers don't depend on their order.
+
+    sigma 0: the public library's fixed kernel of 5.
+    """
+    if sigma <= 0:
+        if ksize != len(FIXED_LINE):
+            raise ValueError("sigma 0 is known for a kernel of 5 alone")
+        unit = (1 << SCALE_BITS) // sum(FIXED_LINE) ** 2
+        return tuple((y - 2, x - 2, a * b * unit) for y, a in enumerate(FIXED_LINE) for x, b in enumerate(FIXED_LINE))
     w = np.rint(gaussian_weights(ksize, sigma).astype(np.float64) * 2.0**SCALE_BITS).astype(np.int64)
     r = ksize // 2
     return tuple((y - r, x - r, int(w[y, x])) for y in range(ksize) for x in range(ksize) if w[y, x])

@@ -1,4 +1,8 @@
-"""Bounding boxes of labelled pixels, their ranking, and drawing them."""
+"""Bounding boxes of labelled pixels, their ranking, and drawing them.
+
+Rows without frame_id or label are a group of their own, as SQL has it; an empty table has no boxes.  Boxes that tie in
+area are ranked by label; rows that repeat a box are ranked apart.
+"""
 
 from __future__ import annotations
 
@@ -24,7 +28,7 @@ def ranked(boxes: DataFrame) -> DataFrame:
 def topk(boxes: DataFrame, k: int = 1) -> DataFrame:
     """Boxes with more area than the one of rank k + 1: boxes tied with it all go.  A frame with k boxes or fewer keeps all.
 
-    area counts pixels; it is not the area of the outline's polygon.
+    area is whatever the boxes have: pixels of a component, or the area of a contour's polygon.
     """
     whole = Window.partitionBy("frame_id")
     cut = F.max(F.when(F.col("rank") == k + 1, F.col("area"))).over(whole)

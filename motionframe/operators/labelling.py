@@ -1,21 +1,21 @@
 """Connected components (8 neighbours) of binary pixel tables, frame by frame.
 
 label = y * width + x + label_base of the component's first pixel in raster order; with label_base 0 the pixel (0, 0)
-still gets its label here, 0, since the background has no rows.
+still gets its label here, 0, since the background has no rows.  A null value is off; rows that repeat a pixel count once;
+an empty table has no labels.
 """
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.functions.pixels import is_on
+from motionframe.operators import packed
 from motionframe.operators.stencil import with_taps
+from motionframe.sources.frames import pack
 
 PRIOR = ((-1, -1), (-1, 0), (-1, 1), (0, -1))
-AROUND = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1))
 
 
 def _on(binary: DataFrame) -> DataFrame:
@@ -33,25 +33,9 @@ def prior_neighbours(binary: DataFrame) -> DataFrame:
     return ask.join(near, ["frame_id", "ny", "nx"]).select("frame_id", "y", "x", "ny", "nx")
 
 
-def components(binary: DataFrame, width: int, label_base: int = 1, most_rounds: int = 1000) -> DataFrame:
-    """(frame_id, y, x, label) by spreading the least label to neighbours and jumping to the label of the label's pixel.
+def components(binary: DataFrame, height: int, width: int, label_base: int = 1) -> DataFrame:
+    """(frame_id, y, x, label): each frame's pixels meet in one row, a frame being of bounded size, and are labelled there.
 
-    Each round is one aggregation and one join within frames; it is written to the checkpoint folder, which also ends
-    the plan's growth.  Not settling within most_rounds is an error.
+    Whatever the shape of an object, that takes one pass; pixels that are partitioned by frame_id aren't moved for it.
     """
-    on = _on(binary)
-    context = on.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # spark.checkpoint.dir is unset, as in a local session
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="motionframe-"))
-    now = on.withColumn("label", F.col("y").cast("long") * width + F.col("x")).checkpoint()
-    for _ in range(most_rounds):
-        spread = with_taps(now, AROUND).select("frame_id", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"), "label")
-        least = spread.groupBy("frame_id", "y", "x").agg(F.min("label").alias("least"))
-        new = now.join(least, ["frame_id", "y", "x"])
-        root = new.select("frame_id", (F.col("y").cast("long") * width + F.col("x")).alias("least"), F.col("least").alias("jump"))
-        new = new.join(root, ["frame_id", "least"], "left").select("frame_id", "y", "x", F.col("label").alias("old"), F.coalesce("jump", "least").alias("label"))
-        new = new.checkpoint()
-        if new.where("label <> old").isEmpty():
-            return new.select("frame_id", "y", "x", (F.col("label") + label_base).alias("label"))
-        now = new.drop("old")
-    raise RuntimeError(f"labels not settled after {most_rounds} rounds")
+    return packed.label_frames(pack(_on(binary).select("*", F.lit(1).alias("v")), height, width), height, width, label_base)

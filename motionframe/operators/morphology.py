@@ -1,7 +1,8 @@
 """Binary and grey morphology on pixel tables.
 
 Binary input is dense or sparse: only pixels whose lowest bit is set count.  Binary results are sparse: the pixels that
-are on, with v = on.  Beyond the frame everything is off, for dilation and erosion alike.
+are on, with v = on.  Beyond the frame everything is off, for dilation and erosion alike.  A null value is off, and so is a row
+without place; rows that repeat a pixel count once; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from motionframe.operators.stencil import with_taps
 
 
 def _shifted(pixels: DataFrame, taps: tuple, height: int, width: int) -> DataFrame:
-    at = with_taps(pixels, taps).select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
+    at = with_taps(pixels.where("frame_id IS NOT NULL"), taps).select("frame_id", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x"), "v")
     return at.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
 
 
@@ -30,7 +31,8 @@ def erode(binary: DataFrame, taps: tuple, height: int, width: int, on: int = 255
     """A pixel stays on where all taps are.  Without taps every pixel of the (dense) input is on.  neutral: taps beyond the frame don't count."""
     if not taps:
         return binary.select("frame_id", "y", "x", F.lit(on).alias("v"))
-    near = _shifted(binary.where(is_on(F.col("v"))), taps, height, width)
+    # each pixel once: a row that repeats would count twice
+    near = _shifted(binary.where(is_on(F.col("v"))).groupBy("frame_id", "y", "x").agg(F.lit(on).alias("v")), taps, height, width)
     count = near.groupBy("frame_id", "y", "x").agg(F.count("*").alias("n"))
     need = F.lit(len(taps))
     if neutral:

@@ -8,20 +8,23 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.functions.kernels import SCALE_BITS, disc, ellipse, gaussian_taps
+from motionframe.functions.kernels import SCALE_BITS, disc, ellipse, gaussian_line, gaussian_taps
 from motionframe.params import DetectParams
 
+CONTOURS = "frame_id long, kind string, label long, x int, y int, width int, height int, area double"
 BOXES = "frame_id long, label long, x int, y int, width int, height int, area long"
 BATCH_FRAMES = 64
 BATCH_PIXELS = 1 << 20
 FEW_TAPS = 25
-DOUBT = np.float32(2e-3)
+DOUBT = np.float32(7e-4)  # two passes of 15 single-precision terms up to 255 are off by less than 5e-4
+BAND = 64
 HALF = 1 << (SCALE_BITS - 1)
 
 
@@ -42,52 +45,81 @@ def gray(bgr: np.ndarray, weights: str) -> np.ndarray:
 
 
 def padded(a: np.ndarray, reach: int, border: str) -> np.ndarray:
-    pad = ((0, 0), (reach, reach), (reach, reach))
-    return np.pad(a, pad, mode="reflect") if border == "reflect101" else np.pad(a, pad)
+    """Frames with ``reach`` more pixels on each side: zeros, or the frame mirrored as often as it takes."""
+    if border != "reflect101":
+        return np.pad(a, ((0, 0), (reach, reach), (reach, reach)))
+    rows, cols = (mirror(n, reach) for n in a.shape[1:])
+    return a[:, rows][:, :, cols]
+
+
+def mirror(n: int, reach: int) -> np.ndarray:
+    at = np.arange(-reach, n + reach)
+    if n == 1:
+        return np.zeros_like(at)
+    at %= 2 * n - 2
+    return np.minimum(at, 2 * n - 2 - at)
+
+
+def keeps_pixels(taps: tuple) -> bool:
+    """Whether a blur rounds every pixel to itself: the other weights can't move it, nor a missing border, by half a step."""
+    own = sum(w for y, x, w in taps if y == x == 0)
+    others = sum(w for y, x, w in taps) - own
+    return 255 * max((1 << SCALE_BITS) - own, others) < HALF
+
+
+@cache
+def bands(ksize: int, sigma: float, block: int = BAND) -> np.ndarray:
+    """The matrix that takes block + ksize - 1 pixels of a line to block blurred ones."""
+    line, out = np.array(gaussian_line(ksize, sigma), np.float32), np.zeros((block + ksize - 1, block), np.float32)
+    for i in range(block):
+        out[i : i + ksize, i] = line
+    return out
 
 
 def blur(a: np.ndarray, ksize: int, sigma: float, border: str = "zero") -> np.ndarray:
     """Whole-number sums, as the relational form makes them.
 
-    A kernel of many taps is applied as rows and columns in single precision first.  That is off by far less than
-    ``DOUBT``; only pixels that come so close to a half are summed exactly.
+    A kernel of many taps is applied as rows and columns in single precision first, as products with band matrices, a frame
+    at a time.  That is off by far less than ``DOUBT``; only pixels that come so close to a half are summed exactly.
     """
     taps = gaussian_taps(ksize, sigma)
+    if keeps_pixels(taps):
+        return a.copy()
     reach = max((max(abs(y), abs(x)) for y, x, _ in taps), default=0)
     h, w = a.shape[1:]
-    if border == "reflect101" and reach >= min(h, w):
-        raise ValueError("the kernel reaches beyond one reflection of the frame")
+    wide = padded(a, reach, border)
     if len(taps) <= FEW_TAPS:
-        wide = padded(a.astype(np.int64), reach, border)
+        wide = wide.astype(np.int64)
         total = np.zeros(a.shape, np.int64)
         for y, x, k in taps:
             total += k * wide[:, reach + y : reach + y + h, reach + x : reach + x + w]
         return ((total + HALF) >> SCALE_BITS).astype(np.uint8)
-    wide = padded(a, reach, border)
-    d = np.arange(-reach, reach + 1)
-    line = np.exp(-(d**2) / (2 * sigma * sigma))
-    line = (line / line.sum()).astype(np.float32)
-    about = np.empty(a.shape, np.float32)
-    rows, tall, flat = np.empty((h, wide.shape[2]), np.float32), np.empty((h, wide.shape[2]), np.float32), np.empty((h, w), np.float32)
-    for own, to in zip(wide, about, strict=True):  # one frame at a time stays in the cache
-        own = own.astype(np.float32)
-        np.multiply(own[reach : reach + h], line[reach], out=rows)
-        for i in range(reach):
-            np.add(own[i : i + h], own[2 * reach - i : 2 * reach - i + h], out=tall)
-            tall *= line[i]
-            rows += tall
-        np.multiply(rows[:, reach : reach + w], line[reach], out=to)
-        for i in range(reach):
-            np.add(rows[:, i : i + w], rows[:, 2 * reach - i : 2 * reach - i + w], out=flat)
-            flat *= line[i]
-            to += flat
-    out = (about + np.float32(0.5)).astype(np.uint8)
-    near = np.nonzero(np.abs(about - np.floor(about) - np.float32(0.5)) < DOUBT)
-    if len(near[0]):
-        total = np.zeros(len(near[0]), np.int64)
-        for y, x, k in taps:
-            total += k * wide[near[0], near[1] + reach + y, near[2] + reach + x].astype(np.int64)
-        out[near] = (total + HALF) >> SCALE_BITS
+    band = bands(2 * reach + 1, sigma)
+    n_rows, n_cols = (-(-n // BAND) * BAND + 2 * reach for n in (h, w))
+    own, rows, about = np.zeros((n_rows, n_cols), np.float32), np.empty((n_rows, n_cols), np.float32), np.empty((n_rows, n_cols), np.float32)
+    out, near = np.empty(a.shape, np.uint8), []
+    for i, frame in enumerate(wide):
+        own[: h + 2 * reach, : w + 2 * reach] = frame
+        for s in range(0, w, BAND):
+            np.matmul(own[:, s : s + len(band)], band, out=rows[:, s : s + BAND])
+        for s in range(0, h, BAND):
+            np.matmul(band.T, rows[s : s + len(band), :w], out=about[s : s + BAND, :w])
+        now = about[:h, :w]
+        now += np.float32(0.5)
+        out[i] = now
+        now -= out[i]  # how far above the step that it was rounded down to
+        y, x = np.nonzero((now < DOUBT) | (now > 1 - DOUBT))
+        near.append((np.full(len(y), i), y, x))
+    f, y, x = (np.concatenate(c) for c in zip(*near, strict=True)) if near else (np.empty(0, np.int64),) * 3
+    if len(f):
+        k = 2 * reach + 1
+        weight = np.zeros((k, k), np.int64)
+        for dy, dx, v in taps:
+            weight[reach + dy, reach + dx] = v
+        for s in range(0, len(f), 4096):
+            at = f[s : s + 4096], y[s : s + 4096], x[s : s + 4096]
+            near = np.lib.stride_tricks.sliding_window_view(wide, (k, k), axis=(1, 2))[at].reshape(len(at[0]), -1)
+            out[at] = (near.astype(np.int64) @ weight.reshape(-1) + HALF) >> SCALE_BITS
     return out
 
 
@@ -212,6 +244,82 @@ def boxes_of(on: np.ndarray, ids: np.ndarray, external: bool = False, label_base
     return pa.RecordBatch.from_arrays([pa.array(c[keep], t) for c, t in zip(cols, kinds, strict=True)], names=["frame_id", "label", "x", "y", "width", "height", "area"])
 
 
+def painted(shape: tuple[int, ...], row: np.ndarray, first: np.ndarray, last: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """An array with each run's value in its places, -1 elsewhere."""
+    n = last - first + 1
+    out = np.full(int(np.prod(shape)), -1)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(row * shape[2] + first, n)
+    out[at] = np.repeat(value, n)
+    return out.reshape(shape)
+
+
+def contours_of(on: np.ndarray, ids: np.ndarray, label_base: int = 1) -> pa.RecordBatch:
+    """A row of CONTOURS for each border of a stack of frames, in no order: the outer one of each component, and one around
+    each hole, which runs over the component's pixels beside it.
+
+    The area is that of the polygon through the middles of the border's pixels.  It is made of unit squares between four
+    pixels: a component has those with four of its pixels and half of those with three, the rest belongs to the parts
+    of the background; an outer border encloses its component, its holes and what lies in these.
+    """
+    h, w = on.shape[1] + 2, on.shape[2] + 2
+    lit = np.pad(on, ((0, 0), (1, 1), (1, 1)))
+    parts, firsts = [], []
+    for side, diagonal in ((lit, True), (~lit, False)):
+        row, first, last, component = labelled(side, diagonal)
+        head, which = np.unique(component, return_inverse=True)
+        n = len(head)
+        x0, x1, y1 = np.full(n, w), np.full(n, -1), np.full(n, -1)
+        np.minimum.at(x0, which, first)
+        np.maximum.at(x1, which, last)
+        np.maximum.at(y1, which, row)
+        parts.append([painted(lit.shape, row, first, last, which), row[head], first[head], x0, x1, y1])
+        firsts.append(row[head] * w + first[head])
+    (own, *_), (back, *_) = parts
+    n_own, n_back = len(firsts[0]), len(firsts[1])
+    area = np.zeros(n_own + n_back)
+    corners = [(slice(None), slice(y, h - 1 + y), slice(x, w - 1 + x)) for y in (0, 1) for x in (0, 1)]
+    count = sum(lit[c].astype(np.int8) for c in corners)
+    for c in corners:
+        mine = own[c]
+        np.add.at(area, mine[(count == 4) & (mine >= 0)], 0.25)
+        np.add.at(area, mine[(count == 3) & (mine >= 0)], 0.5 / 3)
+        them = back[c]
+        for zeros, share in ((1, 0.5), (2, 0.5), (3, 1 / 3), (4, 0.25)):
+            np.add.at(area, n_own + them[(count == 4 - zeros) & (them >= 0)], share)
+    flat_own, flat_back = own.reshape(-1), back.reshape(-1)
+    # what surrounds a part stands left of a component's first pixel, and above a hole's
+    outside = firsts[1] % (h * w) == 0
+    parent = np.concatenate([n_own + flat_back[firsts[0] - 1], np.where(outside, -1, flat_own[np.maximum(firsts[1] - w, 0)])])
+    for i in np.argsort(-np.concatenate(firsts), kind="stable").tolist():  # what is enclosed begins after what encloses it
+        if parent[i] >= 0:
+            area[parent[i]] += area[i]
+    holes = np.flatnonzero(~outside)
+    cols: list[list] = [[], [], [], [], [], [], [], []]
+    for kind, which, grow in (("outer", np.arange(n_own), 0), ("hole", holes, 1)):
+        _, row, first, x0, x1, y1 = (v if v.ndim > 1 else v[which] for v in parts[grow])
+        y0, frame = row % h, row // h
+        label = (y0 - 1) * (w - 2) + first - 1 + label_base
+        sizes = (ids[frame], [kind] * len(which), label, x0 - 1 - grow, y0 - 1 - grow, x1 - x0 + 1 + 2 * grow, y1 % h - y0 + 1 + 2 * grow, np.round(2 * area[which + grow * n_own]) / 2)
+        for c, v in zip(cols, sizes, strict=True):
+            c.extend(v if isinstance(v, list) else v.tolist())
+    kinds = [pa.int64(), pa.string(), pa.int64(), *[pa.int32()] * 4, pa.float64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["frame_id", "kind", "label", "x", "y", "width", "height", "area"])
+
+
+def contour_frames(packed: DataFrame, height: int, width: int, label_base: int = 1) -> DataFrame:
+    """CONTOURS of packed binary frames: outer borders of all components, nested ones too, and borders of holes.
+
+    label is the place of the component's, or hole's, first pixel in raster order.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for ids, frames in stacks(b, height, width):
+                yield contours_of((frames & 1).astype(bool), ids, label_base)
+
+    return packed.mapInArrow(task, CONTOURS)
+
+
 def stacks(batch: pa.RecordBatch, height: int, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(ids, frames) of a batch of packed frames, a bounded number at a time; a frame of another size is an error."""
     step = max(1, min(BATCH_FRAMES, BATCH_PIXELS // (height * width)))
@@ -306,10 +414,13 @@ def timed_stages(packed: DataFrame, background: np.ndarray, p: DetectParams) ->
     return packed.select("frame_id", "height", "width", "n_channels", "data").mapInArrow(task, "stage string, frames long, seconds double")
 
 
-def render(packed: DataFrame, boxes: DataFrame, thickness: int = 2, text: str = "Detected", side_by_side: bool = True) -> DataFrame:
-    """Packed colour frames with red outlines, beside the plain frame if asked; text goes along as a column."""
+def render(packed: DataFrame, boxes: DataFrame, thickness: int = 2, text: str | Column = "Detected", side_by_side: bool = True) -> DataFrame:
+    """Packed colour frames with red outlines, beside the plain frame if asked; text goes along as a column.
+
+    text: the same for every frame, or a column of the frames' table such as ``rate_text``.  A frame without boxes is as it was.
+    """
     box = F.collect_list(F.struct("x", "y", "width", "height")).alias("boxes")
-    rows = packed.join(boxes.groupBy("frame_id").agg(box), "frame_id", "left")
+    rows = packed.withColumn("text", F.lit(text)).join(boxes.groupBy("frame_id").agg(box), "frame_id", "left")
     names = ["frame_id", "height", "width", "n_channels", "data"]
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,8 +441,25 @@ def render(packed: DataFrame, boxes: DataFrame, thickness: int = 2, text: str =
                 data.append(out.tobytes())
                 widths.append(out.shape[1])
             m = b.num_rows
-            cols = [b.column("frame_id"), b.column("height"), pa.array(widths, pa.int32()), pa.array([3] * m, pa.int32()), pa.array(data, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            cols = [b.column("frame_id"), b.column("height"), pa.array(widths, pa.int32()), pa.array([3] * m, pa.int32()), pa.array(data, pa.binary()), b.column("text")]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, "text"])
+
+    return rows.select(*names, "boxes", "text").mapInArrow(task, "frame_id long, height int, width int, n_channels int, data binary, text string")
+
+
+def rate_text(milliseconds: Column) -> Column:
+    """The overlay's text for a frame that took so long: frames a second, with two digits."""
+    return F.format_string("Fps: %.2f", F.lit(1000.0) / milliseconds)
+
+
+def printed(packed: DataFrame) -> DataFrame:
+    """(frame_id, text): one-channel frames as a debug printer writes them, each value three wide and a space, a line a row."""
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            text = []
+            for h, w, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "data")), strict=True):
+                text.append("".join("".join(f"{v:3d} " for v in line) + "\n" for line in np.frombuffer(data, np.uint8).reshape(h, w).tolist()))
+            yield pa.RecordBatch.from_arrays([b.column("frame_id"), pa.array(text, pa.string())], names=["frame_id", "text"])
 
-    out = rows.select(*names, "boxes").mapInArrow(task, "frame_id long, height int, width int, n_channels int, data binary")
-    return out.withColumn("text", F.lit(text))
+    return packed.select("frame_id", "height", "width", "data").mapInArrow(task, "frame_id long, text string")

@@ -1,4 +1,9 @@
-"""Point operators on pixel tables."""
+"""Point operators on pixel tables.
+
+A null value stays null through grey values and differences, and is off after a threshold.  A pixel that the background
+doesn't have, or one without place, has no difference.  Rows that repeat are answered as they come; an empty table gives an empty
+result, and a background without rows gives no differences.
+"""
 
 from __future__ import annotations
 

@@ -2,6 +2,8 @@
 
 All of them group by (frame_id, y, x).  Pixels that are partitioned by frame_id - see ``by_frame`` - already satisfy
 that, so a whole chain of these operators shuffles once, and the many shifted copies of a pixel are summed where they arise.
+A null value counts as 0, like a pixel that isn't there; rows without place or frame are dropped; rows that repeat a
+pixel add up; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,17 +33,22 @@ def axis(n: int, reach: int, border: str) -> list[tuple[int, int, int]]:
     for target in range(n):
         for d in range(-reach, reach + 1):
             s = target + d
-            if border == "reflect101" and n > 1:
-                s %= 2 * n - 2
-                s = min(s, 2 * n - 2 - s)
+            if border == "reflect101":
+                s = s % (2 * n - 2) if n > 1 else 0
+                s = min(s, 2 * n - 2 - s) if n > 1 else 0
             if 0 <= s < n:
                 out.append((s, target, d))
     return out
 
 
+def placed(pixels: DataFrame) -> DataFrame:
+    """Rows that have a frame and a place, null values as 0."""
+    return pixels.where("frame_id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").select("frame_id", "y", "x", F.coalesce("v", F.lit(0)).alias("v"))
+
+
 def correlated(pixels: DataFrame, taps: tuple, height: int, width: int, border: str = "zero") -> DataFrame:
     """(frame_id, y, x, total): the sum of weight * pixel over the taps, unflipped; beyond the frame 0 or mirrored."""
-    spark, taps = pixels.sparkSession, list(taps) or [(0, 0, 0)]
+    spark, taps, pixels = pixels.sparkSession, list(taps) or [(0, 0, 0)], placed(pixels)
     if border == "zero":
         ty, tx = F.col("y") - F.col("dy"), F.col("x") - F.col("dx")
         near = with_taps(pixels, taps, "dy dx w").select("frame_id", ty.alias("y"), tx.alias("x"), (F.col("v") * F.col("w")).alias("p"))
@@ -62,7 +69,11 @@ def filter2d(pixels: DataFrame, kernel: np.ndarray, height: int, width: int, bor
 
 
 def blur(pixels: DataFrame, ksize: int, sigma: float, height: int, width: int, border: str = "zero") -> DataFrame:
-    """Gaussian blur, never in place; zero borders are not renormalised.  Sums are exact, halves round up."""
+    """Gaussian blur, never in place; zero borders are not renormalised.  Sums are exact, halves round up.
+
+    sigma 0 with a kernel of 5 is the public library's fixed one.  Exact sums need the whole square of taps: going along rows
+    and columns would leave doubtful pixels, whose neighbours a join had to fetch by another shuffle.
+    """
     out = correlated(pixels, gaussian_taps(ksize, sigma), height, width, border)
     value = F.shiftright(F.col("total") + F.lit(1 << (SCALE_BITS - 1)), SCALE_BITS).cast("int")
     return out.select("frame_id", "y", "x", value.alias("v"))

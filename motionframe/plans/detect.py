@@ -19,18 +19,18 @@ from motionframe.sources import frames as S
 PIXEL_BUDGET = 1024
 
 
-def first_frame(frames: DataFrame) -> tuple[int, np.ndarray]:
-    """Number and array of the first packed frame: one row reaches the driver."""
-    bg_id = S.background_id(frames)
+def first_frame(frames: DataFrame, bg_id: int | None = None) -> tuple[int, np.ndarray]:
+    """Number and array of the first packed frame: one row reaches the driver.  A number that is known needn't be looked for."""
+    bg_id = S.background_id(frames) if bg_id is None else bg_id
     r = frames.where(F.col("frame_id") == bg_id).head()
     a = np.frombuffer(bytes(r.data), np.uint8).reshape((r.height, r.width) + ((r.n_channels,) if r.n_channels > 1 else ()))
     return bg_id, a
 
 
-def detect_packed(frames: DataFrame, p: DetectParams, background: np.ndarray | None = None) -> DataFrame:
+def detect_packed(frames: DataFrame, p: DetectParams, background: np.ndarray | None = None, bg_id: int | None = None) -> DataFrame:
     """Boxes of all packed frames but the background, which is the first one unless given."""
     if background is None:
-        bg_id, background = first_frame(frames)
+        bg_id, background = first_frame(frames, bg_id)
         frames = frames.where(F.col("frame_id") != bg_id)
     return packed.detect(frames, background, p)
 
@@ -53,17 +53,18 @@ def binary_stages(pixels: DataFrame, p: DetectParams, height: int, width: int, b
     return {"grayscale": grey, "blur": blurred, "diff": diff, "threshold": binary, "morphology": form(binary, p.morph_ksize, height, width)}
 
 
-def detect_relational(pixels: DataFrame, p: DetectParams, height: int, width: int) -> DataFrame:
+def detect_relational(pixels: DataFrame, p: DetectParams, height: int, width: int, bg_id: int | None = None) -> DataFrame:
     if p.external:
         raise ValueError("outer components alone: use the packed plan")
-    stages = binary_stages(pixels, p, height, width, S.background_id(pixels))
-    return boxes.bounding_boxes(labelling.components(stages["morphology"], width, p.label_base))
+    stages = binary_stages(pixels, p, height, width, S.background_id(pixels) if bg_id is None else bg_id)
+    return boxes.bounding_boxes(labelling.components(stages["morphology"], height, width, p.label_base))
 
 
-def detect(frames: DataFrame, p: DetectParams, plan: str = "auto", height: int | None = None, width: int | None = None) -> DataFrame:
+def detect(frames: DataFrame, p: DetectParams, plan: str = "auto", height: int | None = None, width: int | None = None, bg_id: int | None = None) -> DataFrame:
     """(frame_id, label, x, y, width, height, area) of every object in every frame but the first, from packed frames or pixels.
 
-    Frames of another size than the background are an error, and so is an input without a frame.
+    Frames of another size than the background are an error, and so is an input without a frame.  Pixels that are missing or
+    null are 0.  bg_id is the first frame's number, where it is known without looking through the frames.  Frames that repeat a number are answered one by one where they are packed.
     """
     is_packed = "data" in frames.columns
     if plan == "auto":
@@ -76,44 +77,52 @@ def detect(frames: DataFrame, p: DetectParams, plan: str = "auto", height: int |
                     raise ValueError("no first frame to take as background")
                 height, width = size[0] + 1, size[1] + 1
             frames = S.pack(frames, height, width, ("v",) if "v" in frames.columns else ("b", "g", "r"))
-        return detect_packed(frames, p)
+        return detect_packed(frames, p, bg_id=bg_id)
     if plan != "relational":
         raise ValueError(f"unknown plan: {plan}")
     if is_packed:
         height, width = S.frame_size(frames)
         frames = S.unpack(frames)
-    return detect_relational(frames, p, height, width)
+    return detect_relational(frames, p, height, width, bg_id)
 
 
 #: A kernel of two values where a square was meant: this pixel and the one above.
 PROTOTYPE_TAPS = ((-1, 0), (0, 0))
 
 
-def detect_prototype(pixels: DataFrame, height: int, width: int, k: int = 1, threshold: int = 20, taps: tuple = PROTOTYPE_TAPS) -> DataFrame:
-    """The k largest outer objects by the order of an early form: grey opening of the difference, then a strict threshold.
+def prototype_binary(pixels: DataFrame, height: int, width: int, threshold: int = 20, taps: tuple = PROTOTYPE_TAPS, bg_id: int | None = None) -> DataFrame:
+    """The early form's binary frames: grey opening of the difference, then a strict threshold.
 
-    Frames are blurred with sigma 0.2, the background with the sigma that a kernel of 5 implies, 1.1; borders are mirrored.
+    Frames are blurred with a kernel of 5 and sigma 0.2, the background with the fixed kernel that 5 and sigma 0 mean; borders are mirrored.
     """
-    bg_id = S.background_id(pixels)
+    bg_id = S.background_id(pixels) if bg_id is None else bg_id
     soft = stencil.blur(stencil.by_frame(pixels), 5, 0.2, height, width, "reflect101")
-    still = stencil.blur(pixels.where(F.col("frame_id") == bg_id), 5, 1.1, height, width, "reflect101")
+    still = stencil.blur(pixels.where(F.col("frame_id") == bg_id), 5, 0, height, width, "reflect101")
     diff = point.abs_diff(soft, point.background(still, bg_id), bg_id)
-    binary = point.threshold(morphology.gray_open(diff, taps, height, width), threshold, strict=True)
-    return boxes.topk(packed.box_frames(S.pack(binary, height, width), height, width, external=True), k)
+    return point.threshold(morphology.gray_open(diff, taps, height, width), threshold, strict=True)
 
 
-def stage_report(frames: DataFrame, p: DetectParams) -> DataFrame:
-    """(stage, frames, total_ms, frame_avg_ms, percent) of detecting objects in packed frames: seconds within the tasks, summed."""
-    bg_id, background = first_frame(frames)
+def detect_prototype(pixels: DataFrame, height: int, width: int, k: int = 1, threshold: int = 20, taps: tuple = PROTOTYPE_TAPS, bg_id: int | None = None) -> DataFrame:
+    """The boxes of the k largest contours of the early form: outer borders, nested ones too, and borders of holes all count.
+
+    area is that of the contour's polygon through the middles of pixels; a lone pixel's, or a line's, is 0.
+    """
+    binary = prototype_binary(pixels, height, width, threshold, taps, bg_id)
+    return boxes.topk(packed.contour_frames(S.pack(binary, height, width), height, width), k)
+
+
+def stage_report(frames: DataFrame, p: DetectParams, bg_id: int | None = None) -> DataFrame:
+    """Means by stage, as the benchmark prints them: (stage, frames, total_ms, frame_avg_ms, percent) of detecting objects in packed frames: seconds within the tasks, summed."""
+    bg_id, background = first_frame(frames, bg_id)
     times = packed.timed_stages(frames.where(F.col("frame_id") != bg_id), background, p)
     sums = times.groupBy("stage").agg(F.sum("frames").alias("frames"), (1000 * F.sum("seconds")).alias("total_ms"))
     share = 100 * F.col("total_ms") / F.sum("total_ms").over(Window.partitionBy())  # a row for each stage, six in all
     return sums.select("stage", "frames", "total_ms", (F.col("total_ms") / F.col("frames")).alias("frame_avg_ms"), share.alias("percent"))
 
 
-def stage_summary(pixels: DataFrame, p: DetectParams, height: int, width: int) -> DataFrame:
+def stage_summary(pixels: DataFrame, p: DetectParams, height: int, width: int, bg_id: int | None = None) -> DataFrame:
     """(stage, n_frames, n_pixels, total): how many frames and pixels each stage leaves on, and the sum of its values."""
-    stages = binary_stages(pixels, p, height, width, S.background_id(pixels))
+    stages = binary_stages(pixels, p, height, width, S.background_id(pixels) if bg_id is None else bg_id)
     out = None
     for name, df in stages.items():
         on = F.col("v") != 0 if name not in ("threshold", "morphology") else is_on(F.col("v"))

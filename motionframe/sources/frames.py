@@ -13,20 +13,44 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from motionframe.shared import written
+
 PACKED = "frame_id long, height int, width int, n_channels int, data binary"
 
 
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """(name, frame_id): distinct names in their order, from 0, without bringing them together in a task.
+
+    Names are sorted by ranges; each task numbers its own and begins where the tasks before it end: one count a task goes
+    through the driver.
+    """
+    own = written(names.select(name).distinct().orderBy(name).select(name, F.monotonically_increasing_id().alias("place")), "names")
+    counts = own.groupBy(F.shiftright("place", 33).alias("task")).count().orderBy("task").collect()
+    begin, at = [], 0
+    for r in counts:
+        begin.append((r["task"], at))
+        at += r["count"]
+    begins = own.sparkSession.createDataFrame(begin, "task long, begin long")
+    out = own.join(F.broadcast(begins), F.shiftright("place", 33) == F.col("task"))
+    return out.select(name, (F.col("begin") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias("frame_id"))
+
+
 def read_images(spark: SparkSession, path: str, drop_invalid: bool = False) -> DataFrame:
     """Packed frames of the image files below path (PNG, JPEG, GIF, BMP), numbered from 0 in the order of their names.
 
-    Numbers come from a sort of the names alone, in one task: one short row a file; the images don't move for it.
+    Numbers come from a listing of the files, without their contents; each image is read and decoded once.  A file that is
+    no image counts as well, and has no frame if drop_invalid, else one of size -1.
     """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     images = spark.read.format("image").option("dropInvalid", drop_invalid).load(path).select("image.*")
-    from pyspark.sql import Window
+    listed = spark.read.format("binaryFile").load(path).select(plain(F.col("path")).alias("name"))
+    packed = images.select(plain(F.col("origin")).alias("name"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    return packed.join(numbered(listed, "name"), "name").select("frame_id", "height", "width", "n_channels", "data")
+
 
-    names = images.select("origin").distinct().withColumn("frame_id", F.row_number().over(Window.orderBy("origin")).cast("long") - 1)
-    packed = images.select("origin", "height", "width", F.col("nChannels").alias("n_channels"), "data")
-    return packed.join(names, "origin").select("frame_id", "height", "width", "n_channels", "data")
+def replay(frames: DataFrame, times: int) -> DataFrame:
+    """frames with a column pass, from 0: the capture from its beginning again and again."""
+    return frames.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
 
 
 def from_arrays(spark: SparkSession, frames: list[np.ndarray]) -> DataFrame:
@@ -62,9 +86,12 @@ def unpack_bgr(packed: DataFrame) -> DataFrame:
 
 
 def pack(pixels: DataFrame, height: int, width: int, columns: tuple[str, ...] = ("v",)) -> DataFrame:
-    """Packed frames of pixels; missing pixels are 0.  A frame's pixels meet in one row: frames are of bounded size."""
-    value = F.struct((F.col("y") * width + F.col("x")).alias("i"), *(F.col(c).cast("int").alias(c) for c in columns))
-    rows = pixels.groupBy("frame_id").agg(F.collect_list(value).alias("p"))
+    """Packed frames of pixels; missing and null ones are 0, rows without place or frame are dropped.
+
+    A frame's pixels meet in one row: frames are of bounded size.
+    """
+    value = F.struct((F.col("y") * width + F.col("x")).alias("i"), *(F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(c) for c in columns))
+    rows = pixels.where("frame_id IS NOT NULL AND y IS NOT NULL AND x IS NOT NULL").groupBy("frame_id").agg(F.collect_list(value).alias("p"))
     n = len(columns)
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,18 +150,36 @@ def tiles(embeddings: DataFrame, side: int = 8) -> DataFrame:
 
 
 def mosaics(embeddings: DataFrame, side: int = 8) -> DataFrame:
-    """pixels of frames of side x side embeddings each, as tiles; a last frame that isn't full is left out."""
+    """pixels of frames of side x side embeddings each, as tiles; tiles that no embedding has are 0, in every frame."""
     n = side * side
-    tile = (F.col("frame_id") % n).cast("int")
-    full = embeddings.groupBy(F.floor(F.col("vec_id") / n).alias("frame")).count().where(F.col("count") == n).select("frame")
-    at = tiles(embeddings, side).withColumn("frame", F.floor(F.col("frame_id") / n))
-    at = at.join(full, "frame", "left_semi")
-    return at.select(
-        F.col("frame").cast("long").alias("frame_id"),
+    tile = F.pmod("frame_id", F.lit(n)).cast("int")
+    at = tiles(embeddings, side)
+    known = at.select(
+        F.floor(F.col("frame_id") / n).cast("long").alias("frame_id"),
         (F.floor(tile / side).cast("int") * side + F.col("y")).alias("y"),
         ((tile % side) * side + F.col("x")).alias("x"),
         "v",
     )
+    # gaps: a frame's tiles that aren't there, from the ids alone
+    ids = embeddings.where("vec_id IS NOT NULL AND size(embedding) > 0").select(F.floor(F.col("vec_id") / n).cast("long").alias("frame_id"), F.pmod("vec_id", F.lit(n)).cast("int").alias("tile"))
+    have = ids.groupBy("frame_id").agg(F.collect_set("tile").alias("have")).where(F.size("have") < n)
+    lack = have.select("frame_id", F.explode(F.array_except(F.sequence(F.lit(0), F.lit(n - 1)), "have")).alias("tile"))
+    lack = lack.select("frame_id", "tile", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+    gaps = lack.select(
+        "frame_id",
+        (F.floor(F.col("tile") / side) * side + F.floor(F.col("i") / side)).cast("int").alias("y"),
+        ((F.col("tile") % side) * side + F.col("i") % side).cast("int").alias("x"),
+        F.lit(0).alias("v"),
+    )
+    return known.unionByName(gaps)
+
+
+def first_number(table: DataFrame, id_col: str = "vec_id", per_frame: int = 1) -> int:
+    """The first frame's number of tiles, or mosaics of per_frame tiles, from the table of embeddings: one column is read."""
+    first = table.where("size(embedding) > 0").agg(F.min(id_col)).head()[0]
+    if first is None:
+        raise ValueError("no first frame to take as background")
+    return first // per_frame
 
 
 def order_frames(lineitem: DataFrame, side: int = 32) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Sinks: frames as PNG files, boxes and stages as parquet."""
+"""Sinks: frames as PNG files or one YUV4MPEG2 video, boxes and stages as parquet."""
 
 from __future__ import annotations
 
@@ -45,3 +45,29 @@ def write_stages(stages: dict[str, DataFrame], path: str) -> None:
     """Each stage's pixels to path/<stage> as parquet."""
     for name, df in stages.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def write_y4m(packed: DataFrame, path: str, height: int, width: int, rate: int = 50) -> int:
+    """Write one-channel frames, in the order of their numbers, as a mono video; the number of frames.
+
+    A video is one file, so one task writes it as a stream; frames are sorted on disk, not held.  It comes to its place by
+    renaming, and a second attempt replaces the first.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, name = pafs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        fs.create_dir(name.rpartition("/")[0], recursive=True)
+        n, temp = 0, f"{name}.{uuid.uuid4().hex}"
+        with fs.open_output_stream(temp) as f:
+            f.write(b"YUV4MPEG2 W%d H%d F%d:1 Cmono\n" % (width, height, rate))
+            for b in it:
+                for h, w, channels, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "n_channels", "data")), strict=True):
+                    if (h, w, channels) != (height, width, 1):
+                        raise ValueError(f"a frame of {(h, w, channels)} in a mono video of {(height, width)}")
+                    f.write(b"FRAME\n" + data)
+                    n += 1
+        fs.move(temp, name)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows = packed.select("frame_id", "height", "width", "n_channels", "data").repartition(1).sortWithinPartitions("frame_id")
+    return rows.mapInArrow(task, "n long").groupBy().sum("n").head()[0] or 0

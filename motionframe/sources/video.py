@@ -1,8 +1,10 @@
 """A data source for uncompressed video: YUV4MPEG2 files (mono, 4:2:0, 4:2:2, 4:4:4) as packed B, G, R frames.
 
 ``spark.dataSource.register(Y4M)``, then ``spark.read.format("y4m").load(path)``.  A file splits at frames, which all
-have one length, so that a long video is read by many tasks.  Compressed video needs a codec that isn't here: extract its frames as
-images and use ``frames.read_images``.
+have one length, so that a long video is read by many tasks.
+
+``Compressed``, format "video", reads other files where the workers have a decoder (the module cv2, or imageio with a
+plug-in), one task a file; without one, that is a clear error: extract the frames as images and use ``frames.read_images``.
 """
 
 from __future__ import annotations
@@ -101,3 +103,53 @@ class Y4M(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return Y4MReader(self.options)
+
+
+def decoded(path: str) -> Iterator[np.ndarray]:
+    """Frames (height, width, B G R) of a video file, by whichever decoder is installed."""
+    try:
+        import cv2
+    except ImportError:
+        cv2 = None
+    if cv2 is not None:
+        capture = cv2.VideoCapture(path)
+        if not capture.isOpened():
+            raise ValueError(f"{path} can't be opened as a video")
+        while True:
+            good, frame = capture.read()
+            if not good:
+                return
+            yield frame
+    else:
+        try:
+            import imageio.v3 as iio
+        except ImportError:
+            raise RuntimeError("no video decoder (cv2 or imageio) is installed: extract images, or convert to YUV4MPEG2") from None
+        for frame in iio.imiter(path):
+            yield np.ascontiguousarray(frame[..., ::-1])
+
+
+class CompressedReader(DataSourceReader):
+    def __init__(self, options):
+        self.path = options["path"]
+
+    def partitions(self):
+        return [Frames(0, 0)]
+
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        for i, frame in enumerate(decoded(self.path)):
+            h, w, n = frame.shape
+            cols = [pa.array([i], pa.int64()), *(pa.array([v], pa.int32()) for v in (h, w, n)), pa.array([frame.tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["frame_id", "height", "width", "n_channels", "data"])
+
+
+class Compressed(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "video"
+
+    def schema(self) -> str:
+        return PACKED
+
+    def reader(self, schema) -> DataSourceReader:
+        return CompressedReader(self.options)

@@ -113,7 +113,7 @@ def test_gray_open(spark):
 
 def components_of(spark, on):
     table = pixel_table(spark, on.astype(int) * 255)
-    rel = as_array(labelling.components(table, on.shape[1]), *on.shape, column="label")
+    rel = as_array(labelling.components(table, *on.shape), *on.shape, column="label")
     pack = as_array(packed.label_frames(packed_frames(spark, on.astype(int) * 255), *on.shape), *on.shape, column="label")
     assert (rel == pack).all()
     return rel
@@ -138,7 +138,7 @@ def test_u_shape_corner_and_edges(spark):
 def test_label_base_zero_labels_the_corner(spark):
     on = np.zeros((3, 3), int)
     on[0, 0] = 255
-    assert labelling.components(pixel_table(spark, on), 3, label_base=0).collect()[0].label == 0
+    assert labelling.components(pixel_table(spark, on), 3, 3, label_base=0).collect()[0].label == 0
 
 
 def test_prior_neighbours(spark):
@@ -150,7 +150,7 @@ def test_prior_neighbours(spark):
 
 
 def boxes_by(spark, on):
-    return {(r.x, r.y, r.width, r.height) for r in boxes.bounding_boxes(labelling.components(pixel_table(spark, on * 255), on.shape[1])).collect()}
+    return {(r.x, r.y, r.width, r.height) for r in boxes.bounding_boxes(labelling.components(pixel_table(spark, on * 255), *on.shape)).collect()}
 
 
 def test_bounding_boxes(spark):
@@ -191,3 +191,139 @@ def test_shuffles_once(spark):
     own = stencil.by_frame(pixel_table(spark, BLOBS))
     plan = morphology.dilate_erode(stencil.blur(own, 5, 2.0, 13, 14), 5, 13, 14)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") + plan.count("Exchange RoundRobin") == 1
+
+
+def flooded(free, corners):
+    """Pixels that a flood from the corner of the padded frame reaches over ``free`` ones."""
+    free = np.pad(free, 1, constant_values=True)
+    seen = np.zeros(free.shape, bool)
+    seen[0, 0], front = True, [(0, 0)]
+    moves = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (corners or not (a and b))]
+    while front:
+        y, x = front.pop()
+        for a, b in moves:
+            p = y + a, x + b
+            if 0 <= p[0] < free.shape[0] and 0 <= p[1] < free.shape[1] and free[p] and not seen[p]:
+                seen[p] = True
+                front.append(p)
+    return seen[1:-1, 1:-1]
+
+
+def polygon_area(points):
+    return abs(sum(a * d - b * c for (a, b), (c, d) in zip(points, points[1:] + points[:1], strict=True))) / 2
+
+
+def border_area(part, kind):
+    """By triangles between neighbouring pixel middles: the hull of every square's pixels that are on the enclosed side."""
+    enclosed = ~flooded(~part, kind == "hole")
+    wide, total = np.pad(enclosed, 1), 0.0
+    for y, x in itertools.product(range(wide.shape[0] - 1), range(wide.shape[1] - 1)):
+        k = [(y + a, x + b) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0)) if wide[y + a, x + b]]
+        if kind == "outer":
+            total += polygon_area(k) if len(k) > 2 else 0
+        else:
+            k = [(y + a, x + b) for a, b in ((0, 0), (0, 1), (1, 1), (1, 0)) if not wide[y + a, x + b]]
+            total += 0 if len(k) == 4 else 1 - (polygon_area(k) if len(k) == 3 else 0)
+    return total
+
+
+def brute_contours(on):
+    labels, out = brute_components(on), set()
+    holes = brute_parts(~on & ~flooded(~on, False))
+    for kind, parts, grow in (("outer", labels, 0), ("hole", holes, 1)):
+        for label in set(parts[parts > 0].tolist()):
+            ys, xs = np.nonzero(parts == label)
+            box = (int(xs.min()) - grow, int(ys.min()) - grow, int(np.ptp(xs)) + 1 + 2 * grow, int(np.ptp(ys)) + 1 + 2 * grow)
+            out.add((kind, label, *box, border_area(parts == label, kind)))
+    return out
+
+
+def brute_parts(off):
+    """Labels of parts joined by edges."""
+    out = np.zeros(off.shape, int)
+    for y, x in itertools.product(*map(range, off.shape)):
+        if off[y, x] and not out[y, x]:
+            label, front = y * off.shape[1] + x + 1, [(y, x)]
+            while front:
+                a, b = front.pop()
+                if 0 <= a < off.shape[0] and 0 <= b < off.shape[1] and off[a, b] and not out[a, b]:
+                    out[a, b] = label
+                    front += [(a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)]
+    return out
+
+
+def contours_found(on):
+    rows = packed.contours_of(np.stack([np.zeros_like(on), on]), np.array([4, 9])).to_pylist()
+    assert all(r["frame_id"] == 9 for r in rows)
+    return {tuple(r[c] for c in ("kind", "label", "x", "y", "width", "height", "area")) for r in rows}
+
+
+def test_contours_of_a_ring_with_a_nested_object():
+    ring = np.zeros((11, 12), bool)
+    ring[1:9, 1:10] = True
+    ring[2:8, 2:9] = False
+    ring[4:6, 4:7] = True
+    assert contours_found(ring) == {("outer", 14, 1, 1, 9, 8, 56.0), ("hole", 27, 1, 1, 9, 8, 56.0 - 2.0), ("outer", 53, 4, 4, 3, 2, 2.0)}
+    lone = np.zeros((5, 5), bool)
+    lone[2, 2] = lone[4, 0:3] = True
+    assert {r[-1] for r in contours_found(lone)} == {0.0}
+    diamond = np.zeros((5, 5), bool)
+    diamond[1, 2] = diamond[2, 1] = diamond[2, 3] = diamond[3, 2] = True
+    assert {(r[0], r[-1]) for r in contours_found(diamond)} == {("outer", 2.0), ("hole", 2.0)}
+
+
+def test_contours_by_floods():
+    for share in (0.2, 0.45, 0.6, 0.8):
+        for _ in range(6):
+            on = RNG.random((12, 13)) < share
+            assert contours_found(on) == brute_contours(on)
+
+
+def test_the_fixed_kernel_of_five(spark):
+    a = RNG.integers(0, 256, (9, 8))
+    wide, line = np.pad(a, 2, mode="reflect"), (1, 4, 6, 4, 1)
+    want = (sum(p * q * wide[y : y + 9, x : x + 8] for y, p in enumerate(line) for x, q in enumerate(line)) + 128) >> 8
+    assert (as_array(stencil.blur(pixel_table(spark, a), 5, 0, 9, 8, "reflect101"), 9, 8) == want).all()
+    assert (packed.blur(a[None].astype(np.uint8), 5, 0, "reflect101")[0] == want).all()
+    with pytest.raises(ValueError, match="kernel of 5"):
+        stencil.blur(pixel_table(spark, a), 7, 0, 9, 8)
+
+
+@pytest.mark.parametrize(("h", "w"), [(6, 6), (3, 9), (1, 5), (2, 2)])
+def test_small_frames_are_mirrored_again(spark, h, w):
+    a = RNG.integers(0, 256, (h, w))
+    rel = as_array(stencil.blur(pixel_table(spark, a), 15, 2.0, h, w, "reflect101"), h, w)
+    assert (rel == packed.blur(a[None].astype(np.uint8), 15, 2.0, "reflect101")[0]).all()
+
+
+@pytest.mark.parametrize(("h", "w"), [(64, 64), (63, 130), (5, 200)])
+def test_band_products_are_exact(h, w):
+    a = RNG.integers(0, 256, (3, h, w), dtype=np.uint8)
+    a[1, :, : w // 2], a[2] = 255, 0
+    for k, sigma in ((15, 2.0), (15, 5.0), (9, 1.3)):
+        total, r = 0, k // 2
+        wide = np.pad(a.astype(np.int64), ((0, 0), (r, r), (r, r)))
+        from motionframe.functions.kernels import gaussian_taps
+
+        for y, x, v in gaussian_taps(k, sigma):
+            total = total + v * wide[:, r + y : r + y + h, r + x : r + x + w]
+        assert (packed.blur(a, k, sigma) == (total + packed.HALF) >> 47).all()
+
+
+def test_nulls_and_repeats(spark):
+    rows = [(0, 0, 0, 9), (0, 0, 1, None), (1, 0, 0, 50), (1, 0, 1, 70), (1, 0, 1, 70), (1, None, 0, 5), (None, 0, 0, 5)]
+    px = spark.createDataFrame(rows, "frame_id long, y int, x int, v int")
+    d = point.abs_diff(px, point.background(px, 0), 0)
+    assert sorted((r.x, r.v) for r in d.where("v IS NOT NULL").collect()) == [(0, 41)]
+    assert {r.v for r in point.threshold(d, 20).collect()} == {0, 255}
+    once = px.where("frame_id IS NULL OR frame_id = 1")
+    got = {(r.frame_id, r.y, r.x): r.v for r in stencil.filter2d(once, np.eye(3, dtype=int), 1, 2).collect()}
+    assert got == {(1, 0, 0): 50, (1, 0, 1): 140}
+    on = spark.createDataFrame([(1, 0, x, v) for x, v in ((0, 255), (0, 255), (1, 255), (2, None))] + [(1, None, 0, 255)], px.schema)
+    row = ((0, -1), (0, 0))
+    assert [(r.y, r.x) for r in morphology.erode(on, row, 1, 3).collect()] == [(0, 1)]
+    assert sorted(r.x for r in morphology.dilate(on, row, 1, 3).collect()) == [0, 1, 2]
+    assert {r.label for r in labelling.components(on, 1, 3).collect()} == {1}
+    empty = px.where("false")
+    for out in (point.threshold(empty, 1), stencil.blur(empty, 3, 2.0, 2, 2), morphology.dilate_erode(empty, 3, 2, 2), labelling.components(empty, 2, 2), boxes.bounding_boxes(labelling.components(empty, 2, 2))):
+        assert out.count() == 0

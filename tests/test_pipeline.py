@@ -3,6 +3,7 @@ import sys
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motionframe.operators import packed
 from motionframe.params import PROFILES, DetectParams
@@ -89,7 +90,16 @@ def test_prototype_keeps_the_largest(spark):
     big = moved((2, 3), (12, 15))
     big[2:9, 3:9] = 220
     got = D.detect_prototype(pixel_table(spark, STILL, big), 20, 24).collect()
-    assert len(got) == 1 and (got[0].x, got[0].width) == (3, 6)
+    assert len(got) == 1 and (got[0].kind, got[0].x, got[0].width) == ("outer", 3, 6)
+
+
+def test_prototype_counts_holes_and_nested_objects(spark):
+    ring = STILL.copy()
+    ring[2:16, 2:20] = 220
+    ring[5:13, 5:17] = STILL[5:13, 5:17]
+    ring[7:11, 8:14] = 220
+    got = D.detect_prototype(pixel_table(spark, STILL, ring), 20, 24, k=2).collect()
+    assert sorted((r.kind, r.width > 10) for r in got) == [("hole", True), ("outer", True)]
 
 
 def test_images_are_read_and_written(spark, tmp_path):
@@ -99,6 +109,73 @@ def test_images_are_read_and_written(spark, tmp_path):
     assert sorted((r.frame_id, bytes(r.data)) for r in again.collect()) == sorted((r.frame_id, bytes(r.data)) for r in colour.collect())
 
 
+def test_images_are_numbered_by_name(spark, tmp_path):
+    frames = S.from_arrays(spark, [np.full((2, 3), i) for i in range(37)])
+    sinks.write_pngs(frames.withColumn("frame_id", 5 + 3 * frames.frame_id).repartition(7), str(tmp_path / "png"))
+    again = S.read_images(spark, str(tmp_path / "png"))
+    assert sorted((r.frame_id, bytes(r.data)) for r in again.collect()) == [(i, bytes([i]) * 6) for i in range(37)]
+
+
+def test_videos_are_written(spark, tmp_path):
+    spark.dataSource.register(video.Y4M)
+    frames = packed_frames(spark, *FRAMES)
+    for _ in range(2):
+        assert sinks.write_y4m(frames.repartition(3), str(tmp_path / "v.y4m"), 20, 24) == 4
+    again = spark.read.format("y4m").load(str(tmp_path / "v.y4m"))
+    assert sorted((r.frame_id, bytes(r.data)) for r in again.collect()) == sorted((r.frame_id, bytes(r.data)) for r in frames.collect())
+    assert [p.name for p in tmp_path.iterdir()] == ["v.y4m"]
+
+
+def test_without_a_decoder(spark, tmp_path):
+    spark.dataSource.register(video.Compressed)
+    (tmp_path / "v.mp4").write_bytes(b"x")
+    with pytest.raises(Exception, match="decoder|opened"):
+        spark.read.format("video").load(str(tmp_path / "v.mp4")).collect()
+
+
+def test_gaps_in_mosaics_are_zero(spark):
+    rows = [(i, [0.0] * 64) for i in (0, 1, 63, 64, 130)]
+    px = S.mosaics(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {r.frame_id: (r.n, r.lit) for r in px.groupBy("frame_id").agg(F.count("*").alias("n"), F.count_if(F.col("v") > 0).alias("lit")).collect()}
+    assert got == {0: (4096, 192), 1: (4096, 64), 2: (4096, 64)}
+
+
+def test_printed_frames_and_rates(spark):
+    text = packed.printed(packed_frames(spark, np.array([[1, 20], [255, 0]]))).head().text
+    assert text == "  1  20 \n255   0 \n"
+    assert packed_frames(spark, STILL).select(packed.rate_text(F.lit(4.0)).alias("t")).head().t == "Fps: 250.00"
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from motionframe.__main__ import main
+
+    packed_frames(spark, *[np.kron(f, np.ones((3, 3), int)) for f in FRAMES]).write.parquet(str(tmp_path / "in"))
+    assert main([str(tmp_path / "in"), "--format", "parquet"]) == 0
+    assert len(capsys.readouterr().out.splitlines()) >= 2
+    packed_frames(spark, STILL).where("false").write.parquet(str(tmp_path / "none"))
+    assert main([str(tmp_path / "none"), "--format", "parquet"]) == 1
+
+
+def test_shared_folder(spark, monkeypatch):
+    from motionframe import shared
+
+    assert shared.shared_dir(spark).endswith(spark.sparkContext.applicationId)
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master, applicationId = "yarn", "a"
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        shared.shared_dir(Cluster)
+    df = shared.written(spark.range(3), "t")
+    shared.dropped(df)
+    with pytest.raises(Exception):
+        df.count()
+
+
 def test_stages_are_written(spark, tmp_path):
     stages = D.binary_stages(pixel_table(spark, *FRAMES), SMALL, 20, 24, 0)
     sinks.write_stages({"threshold": stages["threshold"]}, str(tmp_path))
