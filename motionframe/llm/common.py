@@ -3,39 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="motionframe-")
-    return _OWN[app]
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, outlives any executor."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from motionframe.shared import dropped, fresh_path, written
 
+__all__ = ["by_size", "dropped", "fresh_path", "narrowed", "pool_of", "release_shuffles", "runs", "small_batches", "table", "written"]
 
 def narrowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only (doc_id, text), so that other columns of the caller can't clash with ours; a null text is empty."""
@@ -54,12 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sized(spark: SparkSession, rows: int, per_task: int) -> int:
-    """Tasks for rows at per_task each: as many as shuffle partitions at least while rows allow a tenth of that."""
-    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, -(-rows // per_task), min(floor, -(-rows // max(1, per_task // 10))))
-
-
 def runs(batches, keys: int = 1):
     """Tables of equal values in the first ``keys`` columns, from batches that come sorted by them; one run is held at a time."""
     held: list[pa.RecordBatch] = []
@@ -86,11 +58,26 @@ def runs(batches, keys: int = 1):
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def by_size(batch: pa.RecordBatch, column: int = 1, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text in a column, whole texts each."""
+    lens = np.asarray(pc.binary_length(batch.column(column)).fill_null(0)).astype(np.int64)
+    group = np.cumsum(lens) // most
+    at = 0
+    for end in [*(np.flatnonzero(np.diff(group)) + 1), len(lens)]:
+        if end > at:
+            yield batch.slice(at, end - at)
+        at = end
+
+
 BATCH_ROWS = 1000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS whole texts, so that neither side of the Python pipe holds many long ones."""
+    """Arrow batches of at most BATCH_ROWS whole texts, so that neither side of the Python pipe holds many long ones.
+
+    Spark reads this setting when a plan starts, which may be long after the operator returned its DataFrame.  So it is lowered
+    for the session, and stays; a caller's lower value is kept.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -2,15 +2,17 @@
 
 1. One scan turns each text into its set of five-word shingles and keeps doc_id, set size, a 128-bit fingerprint of
    the set and ``COORDINATES`` minwise tokens.  Documents of equal sets go on as one representative, known by a
-   hash of the fingerprint and size (``rep``), since rows of one doc_id may have unlike texts.
-2. Independent trees, as many as the threshold needs (``trees_at``), branch the representatives: a node picks one of the coordinates (at times two, so that
-   a pair at the threshold is expected to survive each level) by a hash of its own path, and its members part by their
-   minwise token there.  A node of at most ``NODE`` members is compared exhaustively on the signatures; a larger one
-   branches again.  At depth ``DEPTH`` members of a node that is still large share so many tokens that they are taken
-   as one candidate family.  Links of this step only gather families: they may be too many, hardly ever too few.
-3. Families are the components of those links.  Each member's full set is made anew and shipped to its family; within
-   it, all pairs are compared on full sets.  Large families are cut into blocks of ``BLOCK`` members and each pair of
-   blocks is a group of its own, so no task holds a family.
+   number (``rep``), since rows of one doc_id may have unlike texts.
+2. Independent trees, as many as the threshold needs (``trees_at``), branch the representatives: a node picks one of the
+   coordinates (at times two, so that a pair at the threshold is expected to survive each level) by a hash of its own
+   path, and its members part by their minwise token there.  A node of at most ``NODE`` members is compared exhaustively
+   on the signatures; a larger one branches again, until ``DEPTH``.
+3. Of the pairs that a node finds alike, first only those of each group's leader - the set that most others are like -
+   are confirmed, on full sets: these stars join most of a group of copies at the cost of one set for each member.
+   Groups that are joined are done.  In others, alike pairs that no link joins are confirmed one by one where they are few
+   for the group's size: a chain of documents that share passages costs its neighbours' pairs, not all pairs of the chain.
+   Dense groups, and nodes still large at ``DEPTH``, gather into families, whose members' sets are compared by pairs of
+   blocks within tasks, which report links alone; what the family's largest component has joined isn't compared within.
 4. The components of the confirmed links, and of links between the sets that share a doc_id, are the result.
 """
 
@@ -21,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm.common import narrowed, runs, small_batches, table, written
+from motionframe.llm.common import by_size, narrowed, runs, small_batches, table, written
 from motionframe.llm.components import components
 from motionframe.llm.shingles import U, mix, shingle_sets
 
@@ -34,8 +35,11 @@ COORDINATES = 128
 SCREEN_TREES = 6
 DEPTH = 4
 NODE = 128
-BLOCK = 256
+STAR_BLOCK = 256  # sets that are compared with one leader in a task, about
+BLOCK = 512  # sets of a family on each side of a comparison, about
 BLOCK_SHINGLES = 2_000_000
+DENSE = 4  # pairs for each member, from which on a group is dense
+BROADCAST_ROWS = 1 << 20  # of 16 bytes, and as many again for their table
 MISS = 1e-4
 SET_HASH = U(0xC2B2AE3D27D4EB4F)
 
@@ -72,17 +76,6 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, text_key long, n long, f1 long, f2 long, sig binary")
 
 
-def by_size(batch: pa.RecordBatch, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of (id, text) with about ``most`` bytes of text, whole texts each."""
-    lens = np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64)
-    group = np.cumsum(lens) // most
-    at = 0
-    for end in [*(np.flatnonzero(np.diff(group)) + 1), len(lens)]:
-        if end > at:
-            yield batch.slice(at, end - at)
-        at = end
-
-
 def chosen(keys: np.ndarray, sigs: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """(member, child key) of each branch that nodes ``keys`` choose for their members with these signatures."""
     members, children = [], []
@@ -131,97 +124,200 @@ def branched(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.select("tree", "key", "rep", "sig").mapInArrow(task, "tree int, key long, rep long")
 
 
+def least_agreement(similarity: float) -> int:
+    """Coordinates that a pair at the threshold agrees on, but for four standard deviations."""
+    return math.floor(COORDINATES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
+
+
+def agreeing(s: np.ndarray, n: np.ndarray, t: np.ndarray, m: np.ndarray, need: int, similarity: float) -> np.ndarray:
+    """Which signatures s (of sets of sizes n) and t (m) are alike enough, as a matrix; some rows at a time."""
+    out = np.empty((len(s), len(t)), bool)
+    for k in range(0, len(s), 64):
+        out[k : k + 64] = (s[k : k + 64, None, :] == t[None, :, :]).sum(axis=2, dtype=np.int16) >= need
+    return out & (np.minimum(n[:, None], m[None, :]) >= similarity * np.maximum(n[:, None], m[None, :]) - 1e-6)
+
+
 def alike_in_nodes(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): links that join the members of each small node whose signatures agree enough; rows (key, rep, sig)."""
-    need = math.floor(COORDINATES * (similarity - 4 * math.sqrt(similarity * (1 - similarity) / COORDINATES)))
+    """(watched, a, b) of small nodes; rows (key, rep, n, sig).
+
+    watched 0: b is alike to its group's leader a.  watched 1: set b of group a, in which more pairs are alike than those.
+    """
+    need = least_agreement(similarity)
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int]] = []
         for t in runs(it):
-            rep = t.column("rep").to_numpy()
+            rep, n = t.column("rep").to_numpy(), t.column("n").to_numpy()
             s = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
-            left = np.arange(len(rep))
-            while len(left) > 1:  # grow one group after another, comparing it with all that are left
-                head, front, left = int(rep[left[0]]), left[:1], left[1:]
-                while len(front) and len(left):
-                    hit = (s[left] == s[front[0]]).sum(axis=1) >= need
-                    out += [(head, int(rep[j])) for j in left[hit]]
-                    front, left = np.concatenate([front[1:], left[hit]]), left[~hit]
+            alike = np.triu(agreeing(s, n, s, n, need, similarity), 1)
+            if not alike.any():
+                continue
+            alike |= alike.T
+            left = alike.any(axis=1)
+            for x in np.flatnonzero(left).tolist():
+                if left[x]:
+                    group, front = [x], [x]
+                    left[x] = False
+                    while front:
+                        near = np.flatnonzero(alike[front.pop()] & left).tolist()
+                        left[near] = False
+                        front += near
+                        group += near
+                    group.sort()
+                    free, stars = set(group), 0
+                    degree = alike[np.ix_(group, group)].sum(axis=1)
+                    for i in [group[k] for k in np.argsort(-degree, kind="stable")]:  # each leads those that are alike and have no leader yet
+                        if i in free:
+                            own = [j for j in group if j in free and alike[i, j]]
+                            free -= {i, *own}
+                            stars += len(own)
+                            out += [(0, int(rep[i]), int(rep[j])) for j in own]
+                    if alike[np.ix_(group, group)].sum() > 2 * stars:
+                        name = int(mix(np.array([t.column("key")[0].as_py() & (1 << 64) - 1, x], U).cumsum(dtype=U))[1].view(np.int64))
+                        out += [(1, name, int(rep[j])) for j in group]
             if len(out) > 20_000:
-                yield edges(out)
+                yield triples(out)
                 out = []
-        yield edges(out)
+        yield triples(out)
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("key", "rep", "sig").repartition(parts, "key").sortWithinPartitions("key", "rep").mapInArrow(task, "a long, b long")
+    dealt = rows.select("key", "rep", "n", "sig").repartition(parts, "key").sortWithinPartitions("key", "rep")
+    return dealt.mapInArrow(task, "watched int, a long, b long")
+
+
+def triples(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], k) for i, k in enumerate(kinds)], names=["watched", "a", "b"])
 
 
 def edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def candidate_links(sigs: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) among representatives (rep, sig): joins at least all pairs at the threshold, but for MISS of them."""
+def candidates(sigs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Among representatives (rep, n, sig): stars (a, b); groups (name, rep) in which more pairs than those may be alike;
+    and the representatives that share a first node with another."""
     trees = trees_at(DEPTH, similarity)
     screen = first_nodes(sigs, max(SCREEN_TREES, trees_at(1, similarity)))
     shared = written(screen.groupBy("key").count().where("count > 1").select("key"), "screen")
     live = written(sigs.join(screen.join(shared, "key", "left_semi").select("rep").distinct(), "rep", "left_semi"), "live")
-    rows, links = written(first_nodes(live, trees), "nodes"), None
+    rows, found = written(first_nodes(live, trees), "nodes"), []
+    none = live.where("false").select(F.lit(0).alias("watched"), F.col("rep").alias("a"), F.col("rep").alias("b"))
+    far = none
     for depth in range(1, DEPTH + 1):
         sizes = written(rows.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), "sizes")
         sized = rows.join(sizes, "key")
         small = sized.where((F.col("size") <= NODE) & (F.col("tree") < trees_at(depth, similarity)))
-        found = written(alike_in_nodes(small.select("key", "rep").join(live, "rep"), similarity).distinct(), "alike")
-        links = found if links is None else links.union(found)
+        found.append(written(alike_in_nodes(small.select("key", "rep").join(live, "rep"), similarity).distinct(), "alike"))
         large = sized.where(F.col("size") > NODE)
         if depth == DEPTH:
-            links = links.union(large.where("rep != least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+            far = large.select(F.lit(1).alias("watched"), F.col("key").alias("a"), F.col("rep").alias("b"))
+            far = far.union(large.where("rep != least").select(F.lit(0).alias("watched"), F.col("least").alias("a"), F.col("rep").alias("b"))).distinct()
         elif sizes.where(F.col("size") > NODE).count() == 0:
             break
         else:
             rows = written(branched(large.select("tree", "key", "rep").join(live, "rep"), similarity).distinct(), "nodes")
-    return links
+    found.append(written(far, "large-nodes"))
+    every = none
+    for f in found:
+        every = every.union(f)
+    pair = lambda kind: every.where(F.col("watched") == kind)
+    return written(pair(0).select("a", "b").distinct(), "stars"), pair(1).select(F.col("a").alias("name"), F.col("b").alias("rep")), live
+
 
+def other_pairs(groups: DataFrame, joined: DataFrame, live: DataFrame, stars: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of groups (name, rep): (a, b), alike pairs of sparse ones that neither the components ``joined`` (v, component) nor a
+    star has; and (v, component): the families that dense groups gather into.
 
-def confirmed(sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): spanning links of all pairs at the threshold in each group; rows (family, i, j, side, rep, words)."""
+    A group whose sets are all joined already is done.  Groups of more than NODE sets count as dense.
+    """
+    need = least_agreement(similarity)
+    own = groups.join(joined.withColumnRenamed("v", "rep"), "rep", "left").select("name", "rep", F.coalesce("component", "rep").alias("component"))
+    own = written(own, "groups")
+    open_ = own.groupBy("name").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y"), F.min("rep").alias("least")).where("x < y")
+    open_ = written(open_.select("name", "size", "least"), "open-groups")
+    rows = written(own.join(open_, "name"), "open-rows")
+    small = rows.where(F.col("size") <= NODE).select("name", "rep", "component").join(live, "rep")
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(it):
+            rep, component, n = (t.column(c).to_numpy() for c in ("rep", "component", "n"))
+            s = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, COORDINATES)
+            x, y = np.nonzero(np.triu(agreeing(s, n, s, n, need, similarity) & (component[:, None] != component[None, :]), 1))
+            dense = len(x) > DENSE * len(rep)
+            if dense:
+                x, y = np.zeros(len(rep) - 1, np.int64), np.arange(1, len(rep))
+            a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), int(dense), np.int32)), pa.array(a), pa.array(b)], names=["watched", "a", "b"])
+
+    parts = int(live.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = small.select("name", "rep", "component", "n", "sig").repartition(parts, "name").sortWithinPartitions("name", "rep")
+    found = written(dealt.mapInArrow(task, "watched int, a long, b long").distinct(), "open-pairs")
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = found.where("watched = 0").select("a", "b").join(known, ["a", "b"], "left_anti")
+    large = rows.where((F.col("size") > NODE) & (F.col("rep") != F.col("least"))).select(F.col("least").alias("a"), F.col("rep").alias("b"))
+    return pairs, written(components(found.where("watched = 1").select("a", "b").union(large)), "families")
+
+
+def compared(families: DataFrame, joined: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links at the threshold between unlike components ``joined`` (v, component) of each family (v, component).
+
+    A family's largest component is dealt into blocks of its own, which meet the other members' blocks but not each other.
+    """
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for t in runs(it, 3):
-            rep = t.column("rep").to_numpy()
+            rep, side, joint = (t.column(c).to_numpy() for c in ("rep", "side", "joint"))
+            if joint.min() == joint.max():
+                continue
             own = [np.frombuffer(w, "<u8") for w in t.column("words").to_pylist()]
-            side = t.column("side").to_numpy()
             n = np.array([len(w) for w in own])
-            if len(own) <= 12:
-                common = np.zeros((len(own), len(own)), np.int64)
-                for x in range(len(own)):
-                    for y in range(x + 1, len(own)):
-                        if 100 * min(n[x], n[y]) >= percent * max(n[x], n[y]):
-                            common[x, y] = len(np.intersect1d(own[x], own[y], assume_unique=True))
-            else:
-                common = intersections(own)
-            linked = 100 * common >= percent * (n[:, None] + n[None, :] - common)
-            linked = np.triu(linked, 1) & ((side[:, None] != side[None, :]) | (t.column("i")[0].as_py() == t.column("j")[0].as_py()))
-            linked |= linked.T
+            common = intersections(own)
+            linked = (100 * common >= percent * (n[:, None] + n[None, :] - common)) & (joint[:, None] != joint[None, :])
+            if t.column("i")[0].as_py() != t.column("j")[0].as_py():
+                linked &= side[:, None] != side[None, :]
             left = np.ones(len(rep), bool)
-            for x in range(len(rep)):
+            for x in np.flatnonzero(linked.any(axis=1)):
                 if left[x]:
                     left[x], front = False, [x]
                     while front:
-                        near = np.flatnonzero(linked[front.pop()] & left)
+                        k = front.pop()
+                        near = np.flatnonzero(linked[k] & left)
                         left[near] = False
                         front += near.tolist()
-                        out += [(int(rep[x]), int(rep[y])) for y in near]
+                        out += [(int(rep[k]), int(rep[y])) for y in near]
             if len(out) > 20_000:
                 yield edges(out)
                 out = []
         yield edges(out)
 
-    return sets.mapInArrow(task, "a long, b long")
+    spark = families.sparkSession
+    member = families.select(F.col("v").alias("rep"), F.col("component").alias("family"))
+    member = member.join(joined.select(F.col("v").alias("rep"), F.col("component").alias("joint")), "rep", "left")
+    member = member.join(sets.select("rep", (F.octet_length("words") / 8).cast("long").alias("n")), "rep").select("rep", "family", F.coalesce("joint", "rep").alias("joint"), "n")
+    member = written(member, "members")
+    counts = member.groupBy("family", "joint").agg(F.count("*").alias("sets"), F.sum("n").alias("words"))
+    blocks = lambda sets_, words: F.greatest(F.ceil(sets_ / BLOCK), F.ceil(words / BLOCK_SHINGLES), F.lit(0)).cast("int")
+    largest = F.max(F.struct("sets", "words", "joint"))
+    sizes = counts.groupBy("family").agg(largest.alias("main"), F.sum("sets").alias("sets"), F.sum("words").alias("words"))
+    sizes = sizes.select("family", F.col("main.joint").alias("main"), blocks(F.col("main.sets"), F.col("main.words")).alias("own"),
+                         blocks(F.col("sets") - F.col("main.sets"), F.col("words") - F.col("main.words")).alias("others"))
+    sizes = written(sizes.where("others > 0"), "family-sizes")
+    dealt = member.join(sizes, "family").join(sets, "rep")
+    main = F.col("joint") == F.col("main")
+    side = F.when(main, F.pmod(F.xxhash64("rep"), "own")).otherwise(F.col("own") + F.pmod(F.xxhash64("rep"), "others")).cast("int")
+    other = F.explode(F.sequence(F.when(main, F.col("own")).otherwise(F.lit(0)), F.col("own") + F.col("others") - 1))
+    dealt = dealt.withColumn("side", side).withColumn("other", other)
+    dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "joint", "words")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a family's pairs of blocks lie in a row, so that they meet in one task only where there are more of them than tasks
+    place = ((F.pmod(F.xxhash64("family"), F.lit(parts)) + F.expr("j * (j + 1) div 2") + F.col("i")) % parts).cast("int")
+    dealt = dealt.repartitionById(parts, place).sortWithinPartitions("family", "i", "j", "rep")
+    return written(dealt.mapInArrow(task, "a long, b long"), "compared")
 
 
-def intersections(sets: list[np.ndarray], wide: int = 1 << 14) -> np.ndarray:
+def intersections(sets: list[np.ndarray], wide: int = 1 << 12) -> np.ndarray:
     """Sizes of all intersections of two of the sets: products of bit matrices, some of the shared words at a time."""
     who = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, word, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -239,16 +335,50 @@ def intersections(sets: list[np.ndarray], wide: int = 1 << 14) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that are at the threshold on their full sets (rep, words).
+
+    Each pair's b goes to its a, dealt into blocks where a has many; one set and a batch of others are held at a time.
+    """
+
+    def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = None, np.empty(0, "<u8")
+        for batch in it:
+            out = []
+            cols = (batch.column(c).to_pylist() for c in ("a", "block", "first", "rep", "words"))
+            for a, block, first, rep, words in zip(*cols, strict=True):
+                w = np.frombuffer(words, "<u8")
+                if first == 0:
+                    known, own = (a, block), w
+                elif known != (a, block):
+                    raise ValueError(f"no set of {a}")
+                else:
+                    at = np.searchsorted(own, w)
+                    at[at == len(own)] = 0
+                    common = int((own[at] == w).sum())
+                    if 100 * common >= percent * (len(own) + len(w) - common):
+                        out.append((a, rep))
+            yield edges(out)
+
+    spark = pairs.sparkSession
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_BLOCK).cast("int").alias("blocks"))
+    right = pairs.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("first"), F.col("b").alias("rep"))
+    left = degree.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("first"), F.col("a").alias("rep"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.union(right).join(sets, "rep").repartition(parts, "a", "block").sortWithinPartitions("a", "block", "first", "rep")
+    return written(dealt.select("a", "block", "first", "rep", "words").mapInArrow(task, "a long, b long"), "confirmed")
+
+
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, words): each text's distinct shingles."""
+    """(rep, words): each text's distinct shingles."""
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for part in by_size(batch):
                 words = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("family"), part.column("blocks"), pa.array(words, pa.binary())], names=["rep", "family", "blocks", "words"])
+                yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(words, pa.binary())], names=["rep", "words"])
 
-    return docs.select("rep", "text", "family", "blocks").mapInArrow(task, "rep long, family long, blocks int, words binary")
+    return docs.select("rep", "text").mapInArrow(task, "rep long, words binary")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -257,45 +387,43 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Documents are linked when 100 * |intersection| >= percent * |union| of their sets of distinct five-word shingles
     (A-Z lower-cased; the whole sequence where there are fewer words); component_id is the smallest doc_id reachable.
     Texts that are null, empty or without words are linked with nothing.  A row without doc_id is linked with nothing:
-    component_id null, kept true.  Rows of one doc_id are one document.  An empty table gives an empty result.
+    component_id null, kept true.  Rows of one doc_id are one document, linked as any of their texts is; n_shingles is
+    each row's own.  Long texts are compared whole.  An empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     texts, similarity = narrowed(docs, id_col, text_col).withColumn("text_key", F.xxhash64("text")), percent / 100
-    facts = written(signatures(texts), "signatures").withColumn("rep", F.when(F.col("n") > 0, F.xxhash64("f1", "f2", "n")))
-    worded = facts.where(F.col("rep").isNotNull() & F.col("doc_id").isNotNull())
-    reps = written(worded.groupBy("rep").agg(F.min("doc_id").alias("least")), "representatives")
-    first = worded.join(reps.select("rep", F.col("least").alias("doc_id")), ["rep", "doc_id"], "left_semi")
-    sigs = written(first.select("rep", "doc_id", "text_key", "sig", "n").dropDuplicates(["rep"]), "rep-signatures")
-
-    families = written(components(candidate_links(sigs.select("rep", "sig"), similarity)), "families")
-    sizes = families.join(sigs.select(F.col("rep").alias("v"), "n"), "v").groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
-    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("words") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    sizes = written(sizes.select("component", blocks), "family-sizes")
-    member = families.join(sizes, "component").select(F.col("v").alias("rep"), F.col("component").alias("family"), "blocks")
-    member = written(member.join(sigs.select("rep", "doc_id", "text_key"), "rep"), "members")
-    sets = full_sets(texts.join(member, ["doc_id", "text_key"]).dropDuplicates(["rep"]))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("side", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "words")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a family's pairs of blocks lie in a row, so that they meet in one task only where there are more of them than tasks
-    place = (F.pmod(F.xxhash64("family"), F.lit(parts)) + F.expr("j * (j + 1) div 2") + F.col("i")) % parts
-    place = place.cast("int")
-    dealt = dealt.repartitionById(parts, place).sortWithinPartitions("family", "i", "j", "rep")
-    links = written(confirmed(dealt, percent), "confirmed")
+    facts = written(signatures(texts), "signatures")
+    worded = facts.where("n > 0 AND doc_id IS NOT NULL")
+    reps = worded.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("one"), F.min("sig").alias("sig"))
+    reps = written(reps.select(F.monotonically_increasing_id().alias("rep"), "f1", "f2", "n", F.col("one.doc_id").alias("least"), "one.text_key", "sig"), "representatives")
+    named = facts.select("doc_id", "n", "f1", "f2").join(reps.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"], "left")
+    named = written(named.select("doc_id", "n", "rep"), "named")
+
+    stars, groups, live = candidates(reps.select("rep", "n", "sig"), similarity)
+    wanted = stars.select(F.col("a").alias("rep")).union(stars.select("b")).union(groups.select("rep")).distinct()
+    wanted = written(wanted.join(reps.select("rep", F.col("least").alias("doc_id"), "text_key"), "rep"), "wanted")
+    if wanted.count() <= BROADCAST_ROWS:
+        sets = texts.join(F.broadcast(wanted), ["text_key", "doc_id"])
+    else:
+        sets = texts.join(wanted, ["text_key", "doc_id"])
+    sets = written(full_sets(sets.select("rep", "text")).dropDuplicates(["rep"]), "sets")
+    joined = written(components(confirmed(stars, sets, percent)), "joined")
+    rest, families = other_pairs(groups, joined, live, stars, similarity)
+    links = joined.select(F.col("v").alias("a"), F.col("component").alias("b"))
+    links = links.union(confirmed(written(rest, "other-pairs"), sets, percent)).union(compared(families, joined, sets, percent))
 
     # rows of one doc_id with unlike texts are one document: their sets are linked
-    several = facts.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("n").alias("fewest"))
+    several = named.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("n").alias("fewest"))
     several = written(several.where("a <> b OR (fewest = 0 AND a IS NOT NULL)").select("doc_id", "a"), "several-texts")
-    links = links.union(worded.select("doc_id", "rep").join(several, "doc_id").select("a", F.col("rep").alias("b")))
+    links = links.union(named.where("n > 0").select("doc_id", "rep").join(several, "doc_id").select("a", F.col("rep").alias("b")))
 
-    linked = written(components(links).withColumnRenamed("v", "rep").join(reps, "rep"), "linked")
-    least = linked.groupBy("component").agg(F.min("least").alias("root"))
-    rooted = linked.join(least, "component").select("rep", "root")
-    roots = written(reps.join(rooted, "rep", "left").select("rep", F.coalesce("root", "least").alias("root")), "roots")
-    wordless = facts.where(F.col("rep").isNull()).drop("rep").join(several, "doc_id", "left").withColumnRenamed("a", "rep")
+    least = reps.select("rep", "least")
+    linked = written(components(links).withColumnRenamed("v", "rep").join(least, "rep"), "linked")
+    rooted = linked.join(linked.groupBy("component").agg(F.min("least").alias("root")), "component").select("rep", "root")
+    roots = written(least.join(rooted, "rep", "left").select("rep", F.coalesce("root", "least").alias("root")), "roots")
+    wordless = named.where("n = 0").drop("rep").join(several, "doc_id", "left").withColumnRenamed("a", "rep")
     names = ("doc_id", "n", "rep")
-    out = facts.where(F.col("rep").isNotNull()).select(*names).union(wordless.select(*names)).join(roots, "rep", "left")
+    out = named.where("n > 0").select(*names).union(wordless.select(*names)).join(roots, "rep", "left")
     found = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id")).cast("long")
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"),

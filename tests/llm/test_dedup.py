@@ -62,6 +62,7 @@ def near_texts(seed, groups, size):
 def test_op2(spark, tmp_path, monkeypatch, node):
     monkeypatch.setattr(near_dedup, "NODE", node)
     monkeypatch.setattr(near_dedup, "BLOCK", 2 * node)
+    monkeypatch.setattr(near_dedup, "STAR_BLOCK", 2 * node)
     passage = prose(77, 40)
     texts = near_texts(1, 12, 7) + [passage + " " + prose(500 + i, 150) for i in range(30)] + ["a b", "A b", "a", "", None, " ", "a b"] + [prose(9, 80)] * 25 + [prose(3, 20_000)]
     texts += [edited(prose(55, 120), i, i % 5) for i in range(60)]
@@ -88,6 +89,39 @@ def test_op2_unlike_texts_of_one_id(spark):
         assert got == {(i, c, i == c) for i, c in [(7, 3), (3, 3), (9, 3), (12, 3), (20, 3), (5, 4), (8, 4), (4, 4), (6, 6)]}
 
 
+def test_op2_rows_of_one_id_in_any_order(spark):
+    a, b = prose(31, 100), prose(32, 100)
+    tail = " " + prose(33, 8)
+    rows = [(1, a), (1, b), (2, a + tail), (3, b + tail), (4, a), (5, b)]
+    for k in (0, 3):
+        docs = spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string")
+        assert {(r.doc_id, r.component_id) for r in near_dedup.near_dedup(docs).collect()} == {(i, 1) for i in range(1, 6)}
+
+
+def test_op2_chain_of_boilerplate_costs_its_neighbours(spark, monkeypatch):
+    """Each document shares four fifths of its words with the next: nothing is linked, and no pairs of the whole chain arise."""
+    made = {}
+    real = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: made.setdefault(tag, real(df, tag)) if tag in ("stars", "other-pairs", "sets") else real(df, tag))
+    blocks = [prose(900 + i, 40) for i in range(1204)]
+    docs = documents(spark, [" ".join(blocks[i : i + 5]) for i in range(1200)])
+    got = near_dedup.near_dedup(docs).collect()
+    assert all(r.kept for r in got)
+    assert made["stars"].count() + made["other-pairs"].count() < 4 * 1200 and made["sets"].count() <= 1200
+
+
+def test_op2_loose_group(spark, monkeypatch):
+    """A cloud of documents around similarities of the threshold: no pairs of the whole cloud arise, and no link is lost."""
+    made = {}
+    real = near_dedup.written
+    monkeypatch.setattr(near_dedup, "written", lambda df, tag: made.setdefault(tag, real(df, tag)) if tag in ("open-pairs", "stars", "members") else real(df, tag))
+    base = prose(5151, 150)
+    texts = [edited(base, i, 2 + i % 5) for i in range(260)]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(documents(spark, texts)).collect()}
+    assert got == near_components(dict(enumerate(texts)))
+    assert made["open-pairs"].where("watched = 0").count() + made["stars"].count() < 8 * 260 and made["members"].count() <= 260
+
+
 def test_intersections():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in rng.integers(0, 200, 40)]
