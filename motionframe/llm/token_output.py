@@ -4,13 +4,14 @@ File: blocks of ``block_ids`` ids, each id in the fewest bits that hold the voca
 then the block offsets (uint64), then for each document its doc_id (int64), whether it has one (uint8) and its first
 id's place (uint64, one more at the end), then an 8-number uint64 footer.  Any id range is read by fetching only its
 blocks and unpacking them with numpy.  Files are named by their place in doc_id order and put there by renaming, so a
-task that runs again leaves the same file.
+task that runs again leaves the same file.  Their number follows the bytes of the texts.
 """
 
 from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,12 +21,17 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motionframe.llm.common import fresh_path, narrowed, small_batches, table
+from motionframe.llm.common import by_size, fresh_path, narrowed, small_batches, table
 from motionframe.llm.tokens import encoder
 
 MAGIC = 0x3154494253444954
 BLOCK_IDS = 1 << 14
 FOOTER = np.dtype("<u8")
+SHARD_BYTES = 128 << 20
+DOC_BYTES = 64  # what a document counts besides its text, so that files of empty texts are bounded too
+MOST_ACCURACY = 1_000_000  # of the quantiles between files; a file may be off its size by a millionth of all documents
+NO_ID = -(1 << 63)
+READ_DOCS = 10_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -70,10 +76,10 @@ class ShardWriter:
         self.out, self.bits, self.block_ids = out, bits, block_ids
         self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = self.at = 0
-        self.offsets, self.docs, self.valid, self.starts = [], [], [], []
+        self.offsets, self.docs, self.valid, self.starts = array("Q"), array("q"), bytearray(), array("Q")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append(doc_id or 0)
+        self.docs.append(0 if doc_id is None else doc_id)
         self.valid.append(doc_id is not None)
         self.starts.append(self.n_ids)
         self.n_ids += len(ids)
@@ -94,8 +100,9 @@ class ShardWriter:
 
     def close(self) -> None:
         self.flush(True)
-        for values, kind in ((self.offsets, "<u8"), (self.docs, "<i8"), (self.valid, "u1"), ([*self.starts, self.n_ids], "<u8")):
-            self.out.write(np.array(values, kind).tobytes())
+        self.starts.append(self.n_ids)
+        for values in (self.offsets, self.docs, self.valid, self.starts):
+            self.out.write(bytes(values) if isinstance(values, bytearray) else values.tobytes())
         self.out.write(np.array([MAGIC, self.bits, self.block_ids, self.n_ids, len(self.docs), len(self.offsets), self.at, 1], FOOTER).tobytes())
 
 
@@ -153,32 +160,35 @@ def write_shards(
 ) -> Shards:
     """Tokenise whole texts, append end_id to each and write them in ascending doc_id order.
 
-    A null text is empty: its document has end_id alone.  Rows without doc_id come first; equal ids stand together.
-    An empty table gives no files.  Bounds between files are quantiles of doc_id alone, so texts are moved once.
+    A null text is empty: its document has end_id alone.  Rows without doc_id come first; equal ids stand together, and so
+    do rows that repeat, in no set order.  Long texts are encoded whole.  An empty table gives no files; other columns are
+    ignored.  Files are of about SHARD_BYTES of text, or fewer where that would leave tasks idle.  Bounds between them are
+    quantiles of doc_id alone, so texts are moved once; one doc_id, or none, that fills several files is dealt over them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    n = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = narrowed(docs, id_col, text_col)
-    cuts = rows.select(F.percentile_approx("doc_id", [(i + 1) / n for i in range(n - 1)] or [0.5], 20 * n)).head()[0] or []
-    cuts = np.unique(np.array(cuts[: n - 1], np.int64))
+    size = 0 if shards else rows.agg(F.sum(F.octet_length("text") + F.lit(DOC_BYTES))).head()[0] or 0
+    n = shards or max(1, -(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (SHARD_BYTES // 64)))
+    number = F.coalesce("doc_id", F.lit(NO_ID))
+    shares = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)] or [F.lit(0.5)]) if n < 1000 else F.expr(f"transform(sequence(1, {n - 1}), i -> i / {n}D)")
+    cuts = rows.select(F.percentile_approx(number, shares, min(20 * n, MOST_ACCURACY))).head()[0] or []
+    cuts = np.sort(np.array(cuts[: n - 1], np.int64))  # bounds that are equal leave files to one doc_id alone
     path = fresh_path(spark, "token-ids")
 
     def encode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(tokenizer, spaceless)
         schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
         for b in it:
-            held: list[tuple] = []
-            size = 0
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                shard = 0 if doc_id is None else int(np.searchsorted(cuts, doc_id, "left"))
-                ids = tokens.encode(text.as_py())
-                held.append((shard, doc_id, ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
-                size += len(held[-1][2])
-                if size > 1 << 21:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
-                    held, size = [], 0
-            if held:
+            for part in by_size(b):
+                doc_ids, texts = (part.column(i).to_pylist() for i in (0, 1))
+                held = []
+                for doc_id, text, ids in zip(doc_ids, texts, map(tokens.encode, texts), strict=True):
+                    own = NO_ID if doc_id is None else doc_id
+                    shard, last = int(np.searchsorted(cuts, own, "left")), int(np.searchsorted(cuts, own, "right")) - 1
+                    if last > shard:
+                        shard += zlib.crc32(text.encode()) % (last - shard + 1)
+                    held.append((shard, doc_id, ids.astype("<u2").tobytes() if narrow else ids.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
     vocabulary = encoder(tokenizer, spaceless).tokenizer.get_vocab_size()
@@ -228,13 +238,15 @@ def read_shards(spark, shards: Shards) -> DataFrame:
             for name, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 with fs.open_input_file(f"{root}/{name}") as f:
                     shard = ShardReader(f)
-                    crc = np.empty(len(shard.docs), np.int64)
+                    crc: list[int] = []
                     for k, ids in shard.documents():
-                        crc[k] = zlib.crc32(ids.tobytes())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(shard.docs, pa.int64(), mask=~shard.valid), pa.array(shard.starts[:-1] + base), pa.array(np.diff(shard.starts)), pa.array(crc)],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
+                        crc.append(zlib.crc32(ids))
+                        if len(crc) == READ_DOCS or k + 1 == len(shard.docs):
+                            at = slice(k + 1 - len(crc), k + 1)
+                            starts = shard.starts[at.start : k + 2]
+                            cols = [pa.array(shard.docs[at], pa.int64(), mask=~shard.valid[at]), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())]
+                            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                            crc = []
 
     files = spark.createDataFrame(rows, "name string, base long").repartition(max(1, len(rows)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -3,13 +3,14 @@
 Both vocabularies' pre-tokenizers end a token before a single space or line feed that stands between two characters
 that aren't white space, and look no further back.  So the ids of such a text are those of its words, one after
 another.  Words repeat: a worker keeps the ids of up to ``WORDS`` of them.  A new word of Latin-1 letters, with a mark
-after it or not, goes straight to the library's BPE model; any other new word, and any text with other white space
-about, goes through the library's whole tokenizer.
+after it or not, goes straight to the library's BPE model; any other new word, any text with other white space about,
+and any text that holds the string of a special token goes through the library's whole tokenizer.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from functools import cache
 from itertools import islice
@@ -70,7 +71,7 @@ class Words(dict):
 
 
 class Encoder:
-    """ids of whole texts.  Special tokens' strings in a text are ordinary text.  spaceless: white space has no ids."""
+    """ids of whole texts, as the library as it comes gives them.  spaceless: white space has no ids."""
 
     def __init__(self, name: str, spaceless: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +79,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.tokenizer.encode_special_tokens = True
+        strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, strings)), re.IGNORECASE) if strings else None
         self.spaceless = spaceless
         self.first = Words(self.tokenizer, "", spaceless)
         self.later = self.first if spaceless else Words(self.tokenizer, " ", spaceless)
@@ -87,6 +89,8 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, "<u4")
+        if self.special and self.special.search(text):
+            return self.whole(text)
         first, later, out = self.first.__getitem__, self.later.__getitem__, []
         try:
             for line in text.split("\n"):
@@ -95,10 +99,13 @@ class Encoder:
                 out.extend(map(later, islice(words, 1, None)))
                 out.append(self.line_end)
         except Odd:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            return self.whole(text)
         out.pop()
         return np.frombuffer(b"".join(out), "<u4")
 
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
 
 @cache
 def encoder(name: str, spaceless: bool) -> Encoder:

@@ -9,7 +9,7 @@ from motionframe.llm import packing, pieces, token_output
 from motionframe.llm.tokens import Encoder
 from tests.llm.helpers import documents, prose, saved
 
-ODD = ["", None, " ", "a", " a", "a ", "\n", "a\n", "\na", "a  b", "a \n b", "it's we'll", "<|endoftext|> x", "漢字 é ß µ", "x" * 5000, "1 22 333", "\tz\x1cq", "▁lit", prose(1, 6000)]
+ODD = ["", None, " ", "a", " a", "a ", "\n", "a\n", "\na", "a  b", "a \n b", "it's we'll", "<|endoftext|> x", "x <|endoftext|> y", "a<|ENDOFTEXT|>b <|startoftext|>", "漢字 é ß µ", "x" * 5000, "1 22 333", "\tz\x1cq", "▁lit", prose(1, 6000)]
 
 
 def fuzz(n, seed):
@@ -23,7 +23,6 @@ def library(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -78,6 +77,15 @@ def test_op1_without_rows_and_ids(spark):
     assert [r.doc_id for r in got] == [None, None, 0, 0, 1, 1]
 
 
+def test_op1_deals_one_id_over_several_files(spark):
+    docs = spark.createDataFrame([(7, prose(i, 20)) for i in range(60)] + [(None, prose(i, 20)) for i in range(60, 120)] + [(i, "x") for i in (1, 5, 9, 12)], "doc_id long, text string")
+    shards = token_output.write_shards(docs, shards=8)
+    assert len(shards.files) > 4 and max(d for _, d, _ in shards.files) < 45
+    got = token_output.read_shards(spark, shards).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None] * 60 + [1, 5] + [7] * 60 + [9, 12]
+    assert [r.start for r in got] == [sum(q.n_tokens for q in got[:k]) for k in range(len(got))]
+
+
 def check_packing(rows, texts):
     whole, by_doc, by_seq = library("word_bpe_49k.json"), {}, {}
     for r in rows:
@@ -160,7 +168,8 @@ def test_op9(spark, tmp_path):
     assert first != pieces_of(pieces.encode(docs, seed=1).collect()) and first != plain
     spelt = {r.doc_id: r.text for r in pieces.decode(pieces.encode(docs)).collect()}
     assert spelt == {i: t or "" for i, t in enumerate(texts)}
-    assert pieces.op9_merge_dropout(spark, saved(spark, tmp_path, docs)).count() == len(texts)
+    rows = pieces.op9_merge_dropout(spark, saved(spark, tmp_path, docs)).collect()
+    assert len(rows) == len(texts) and all(r.lossless for r in rows)
     assert pieces.encode(docs.where("false")).count() == 0
 
 
@@ -184,3 +193,22 @@ def test_dropout_is_drawn_for_each_word_of_each_document():
             assert np.frombuffer(ids, "<u4").tolist() == [x for k, w in enumerate(own.words(t) if t else []) for x in pieces.one_word(m, w, 3, d, 0.3, k)]
     ways = [{tuple(pieces.one_word(m, word, 3, d, 0.3, k)) for k in range(61)} for d in range(40)]
     assert min(map(len, ways)) > 4 and len(set().union(*ways)) > 20 and len(set(got[:40])) == 40
+
+
+def test_one_long_word_has_many_segmentations(spark):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'internationalisation' AS text")
+    rows = pieces.encode(docs).collect()
+    assert len({bytes(r.ids) for r in rows}) > 200
+    half = pieces.encode(docs, dropout=0.5)
+    assert len({bytes(r.ids) for r in half.collect()}) > 1000
+    assert {r.text for r in pieces.decode(half).collect()} == {"internationalisation"}
+
+
+def test_agendas_forget_and_learn_again(monkeypatch):
+    m, words = pieces.model("piece_bpe_32k.model"), [" international", " things", " and"] * 50
+    monkeypatch.setattr(pieces, "NODES", 20)
+    own = pieces.Agendas(m)
+    for d in range(20):
+        keys = pieces.word_keys(np.full(len(words), pieces.doc_key(5, d), np.uint64), np.arange(len(words)))
+        got = own.segmented(words, keys, 0.4)
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == [pieces.one_word(m, w, 5, d, 0.4, k) for k, w in enumerate(words)]
