@@ -22,4 +22,5 @@ SQL = {
     "op6_topk_search": topk_search.SQL,
     "op7_url_filter": url_filter.SQL,
     "op8_exact_dedup": exact_dedup.SQL,
+    "op10_suffix_dedup": suffix_dedup.SQL,
 }

@@ -36,9 +36,9 @@ WIDEST = WINDOW - GRAM
 SPANS = "key long, start long, end long"
 
 
-def text_key(text) -> F.Column:
-    """64 bits of the sha256 of the text: rows of equal text are one text."""
-    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, -10).cast("long")
+def text_digest(text) -> F.Column:
+    """The whole sha256 of the text: rows of equal digest are one text.  Where it matters once only, texts get numbers (key)."""
+    return F.unhex(F.sha2(text, 256))
 
 
 def packed(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def noted(docs: DataFrame) -> DataFrame:
-    """docs' doc_id and key, n_bytes, and arrays: gram, context, place of each anchor; start, end of spans settled within the text."""
+    """docs' doc_id and digest, n_bytes, and arrays: gram, context, place of each anchor; start, end of spans settled within the text."""
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -71,10 +71,10 @@ def noted(docs: DataFrame) -> DataFrame:
                 for c, v in zip(cols, (gram[first].view(np.int64), context[first].view(np.int64), packed(at, low, high)[first], s, e), strict=True):
                     c.append(v)
             arrays = [pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x) for x in c])]), np.concatenate(c).astype(np.int64)).cast(pa.list_(pa.int64())) if c else pa.array([], pa.list_(pa.int64())) for c in cols]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(np.diff(ends)), *arrays], names=["doc_id", "key", "n_bytes", "gram", "context", "place", "start", "end"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("digest"), pa.array(np.diff(ends)), *arrays], names=["doc_id", "digest", "n_bytes", "gram", "context", "place", "start", "end"])
 
     lists = ", ".join(f"{c} array<long>" for c in ("gram", "context", "place", "start", "end"))
-    return docs.mapInArrow(task, f"doc_id long, key long, n_bytes long, {lists}")
+    return docs.mapInArrow(task, f"doc_id long, digest binary, n_bytes long, {lists}")
 
 
 def contexts(texts: DataFrame) -> DataFrame:
@@ -168,18 +168,20 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Removed is each byte of a 200-byte string that also starts elsewhere, in any text or the same one, overlapping or
     not.  A null text is empty.  Of equal texts of 200 bytes or more nothing is left.  What is left of a text need not
-    be UTF-8: kept_text is binary.  Rows that repeat, and rows without doc_id, are answered as they come.  An empty
-    table gives an empty result; other columns are ignored.
+    be UTF-8: kept_text is binary.  Rows that repeat, and rows without doc_id, are answered as they come.  Long texts are
+    judged whole.  An empty table gives an empty result; other columns are ignored.
     """
     small_batches(docs.sparkSession)
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", text_key(F.col("text")).alias("key"))
+    texts = texts.select("doc_id", "text", text_digest(F.col("text")).alias("digest"))
     facts = written(noted(texts), "anchors")
-    spans = removed_spans(texts, facts)
-    copies = facts.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    # one row of each text speaks for its copies; key is the text's number
+    reps = facts.groupBy("digest").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    reps = written(reps.withColumn("key", F.monotonically_increasing_id()), "texts")
+    spans = removed_spans(texts, facts, reps)
     own = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     release_shuffles(docs.sparkSession)
-    few = written(copies.join(own, "key", "left").where("copies > 1 OR spans IS NOT NULL"), "removed")
+    few = written(reps.select("digest", "copies", "key").join(own, "key", "left").where("copies > 1 OR spans IS NOT NULL").drop("key"), "removed")
     release_shuffles(docs.sparkSession)
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,18 +199,16 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=names)
 
-    return texts.join(few, "key", "left").select("doc_id", "text", "copies", "spans").mapInArrow(
+    return texts.join(few, "digest", "left").select("doc_id", "text", "copies", "spans").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary"
     )
 
 
-def removed_spans(texts: DataFrame, facts: DataFrame) -> DataFrame:
+def removed_spans(texts: DataFrame, facts: DataFrame, reps: DataFrame) -> DataFrame:
     """(key, start, end): spans of repeated strings, but for those that texts share with their copies."""
-    within = facts.select("key", F.explode(F.arrays_zip("start", "end")).alias("s")).select("key", "s.start", "s.end").distinct()
-    # one row of each text speaks for its copies
-    reps = written(facts.groupBy("key").agg(F.min("doc_id").alias("doc_id")), "texts")
-    same = [facts["key"] == reps["key"], facts["doc_id"].eqNullSafe(reps["doc_id"])]
-    one = facts.join(reps, same, "left_semi")
+    numbers = reps.select("digest", F.col("doc_id").alias("rep"), "key")
+    one = facts.join(numbers, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    within = one.select("key", F.explode(F.arrays_zip("start", "end")).alias("s")).select("key", "s.start", "s.end").distinct()
     rows = one.select("key", F.explode(F.arrays_zip("gram", "context", "place")).alias("a")).select("key", "a.gram", "a.context", "a.place")
     shared = written(rows.groupBy("gram").count().where("count > 1").select("gram"), "shared-anchors")
     rows = written(rows.join(shared, "gram", "left_semi"), "anchor-rows")
@@ -219,8 +219,8 @@ def removed_spans(texts: DataFrame, facts: DataFrame) -> DataFrame:
 
     sizes = written(kinds.groupBy("gram").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
     wanted = kinds.join(sizes, "gram").select("one.key", F.struct("gram", "size", "one.place").alias("w")).groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    source = texts.join(reps, ["key"]).where(texts["doc_id"].eqNullSafe(reps["doc_id"])).select("key", texts["text"])
-    source = source.join(written(wanted, "wanted"), "key").dropDuplicates(["key"])
+    wanted = written(wanted.join(numbers, "key"), "wanted")
+    source = texts.join(wanted, "digest").where(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"])
     cut = written(contexts(source), "cut-contexts")
     release_shuffles(texts.sparkSession)
     found.append(written(sorted_groups(cut.where(F.col("size") <= GROUP)), "spans"))
@@ -251,3 +251,23 @@ def removed_spans(texts: DataFrame, facts: DataFrame) -> DataFrame:
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
+SQL = """
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h FROM documents),
+c AS (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 500)) AS c FROM d),
+p AS (SELECT doc_id, c, substr(h, 2 * c + 1, 1398) AS part FROM c),
+w AS (SELECT doc_id, c, part, unnest(range(0, len(part) // 2 - 199)) AS j FROM p),
+k AS MATERIALIZED (SELECT doc_id, c + j AS i, md5_number(substr(part, 2 * j + 1, 400)) AS m FROM w),
+g AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before
+  FROM k WHERE m IN (SELECT m FROM k GROUP BY m HAVING count(*) > 1)),
+n AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 200 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM g),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM n GROUP BY doc_id, r),
+e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM s),
+t AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) AS head
+  FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
