@@ -3,7 +3,9 @@
 A list is a log of dated changes: on a day an entry - a domain (with all below it) or a host with the first segment of
 its path - is added with a category, or removed.  The log becomes validity intervals [from, to).  Captures are reduced
 to their distinct (host, segment, day), each of these to the keys that could list it, and the as-of join is an equality
-on the key with a range on the day.  The most specific active entry decides; verdicts then meet the captures again.
+on the key with a range on the day.  Keys that very many captures share, such as a top-level domain, are counted first:
+those that the list doesn't have go at once, and those that it has are salted.  The most specific active entry decides;
+verdicts then meet the captures again.
 """
 
 from __future__ import annotations
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from motionframe.llm.common import table, written
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
 SEGMENT = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)"
 EPOCH = "2024-01-01"
+HOT_ROWS = 100_000
+HOT_KEYS = 10_000
 
 
 def host_of(url: Column) -> Column:
@@ -51,15 +55,16 @@ def url_filter(captures: DataFrame, log: DataFrame, id_col: str = "page_id", url
     """page_id, host, day, entry, category, kept: one row per capture.
 
     kept is false where an entry was active on the day of the fetch; entry is then the longest such key, category its
-    category.  A null or hostless URL, and a capture without day, meets no entry and is kept.  Repeated captures are
-    answered alike.  Empty tables are fine; other columns are ignored.
+    category.  A null or hostless URL, and a capture without day, meets no entry and is kept.  Repeated captures, and those
+    without id, are answered as they come.  Of equally long entries the greatest in code point order decides, and of its
+    categories the greatest.  Long URLs are read whole.  Empty tables are fine; other columns are ignored.
     """
     rows = captures.select(captures[id_col].alias("page_id"), captures[url_col].alias("url"), captures[day_col].cast("date").alias("day"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), segment_of(F.col("url")).alias("segment"), "day")
     spans = written(intervals(log.select("entry", F.col("day").cast("date").alias("day"), "action", "category")), "intervals")
     fetched = written(rows.where("host <> '' AND day IS NOT NULL").select("host", "segment", "day").distinct(), "fetched")
     asked = fetched.withColumn("entry", F.explode(keys_of(F.col("host"), F.col("segment"))))
-    active = asked.join(spans, "entry").where("from_day <= day AND day < to_day")
+    active = salted(asked, spans).where("from_day <= day AND day < to_day")
     best = F.max(F.struct(F.length("entry").alias("n"), "entry", "category")).alias("b")
     verdicts = written(active.groupBy("host", "segment", "day").agg(best).select("host", "segment", "day", "b.entry", "b.category"), "verdicts")
     return rows.join(verdicts, ["host", "segment", "day"], "left").select(
@@ -67,6 +72,21 @@ def url_filter(captures: DataFrame, log: DataFrame, id_col: str = "page_id", url
     )
 
 
+def salted(asked: DataFrame, spans: DataFrame, hot_rows: int = HOT_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """asked with the spans of its entry.  At most hot_keys entries are hot, whatever the data: those that are asked for by
+    more than hot_rows rows and more than one row in hot_keys."""
+    counts = written(asked.groupBy("entry").count().where(F.col("count") > min(hot_rows, 1000)), "key-counts")
+    least = max(hot_rows, (asked.count() if counts.where(F.col("count") > hot_rows).count() > hot_keys else 0) // hot_keys)
+    listed = spans.select("entry").distinct().withColumn("listed", F.lit(True))
+    hot = counts.where(F.col("count") > least).join(listed, "entry", "left")
+    hot = written(hot.select("entry", "listed", F.ceil(F.col("count") / least).cast("int").alias("salts")), "hot-keys")
+    cold = asked.join(F.broadcast(hot), "entry", "left_anti").join(spans, "entry")
+    known = hot.where("listed").select("entry", "salts")
+    warm = asked.join(F.broadcast(known), "entry").withColumn("salt", F.pmod(F.xxhash64("host", "segment", "day"), F.col("salts")).cast("int"))
+    dealt = spans.join(F.broadcast(known), "entry").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    return cold.unionByName(warm.drop("salts").join(dealt.drop("salts"), ["entry", "salt"]).drop("salt"))
+
+
 def dated_log(pages: DataFrame) -> DataFrame:
     """The query's list, by a rule over the hosts seen: two of three hosts are added at some day, half of them removed
     90 days on and a third of these added again after 120; their domains of two labels are added late in the year, and
@@ -100,7 +120,7 @@ def op7_url_filter(spark, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH p AS (
-  SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '\.$', '') AS host,
+  SELECT page_id, regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1)), '\.$', '') AS host,
     regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]+)', 1) AS segment,
     DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS day FROM pages),
 h AS (SELECT DISTINCT host, length(host) * 37 + ascii(host) * 11 + ascii(substring(host, 5, 1)) * 7 AS k FROM p WHERE host <> ''),

@@ -2,8 +2,11 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,13 +57,57 @@ def test_op4_base_spans(spark, tmp_path):
 def test_op4_adds_what_the_labelers_agree_on(spark):
     secrets = [f'so token = "{hashlib.sha1(b"%d" % i).hexdigest()}" it is' for i in range(30)]
     plain = [f'he said "{"verylongwordwithoutdigits" * 2}" and left' for _ in range(30)]
-    found = pii.find_pii(documents(spark, secrets + plain)).collect()
+    found = pii.find_pii(documents(spark, secrets + plain)).orderBy("doc_id").collect()
     assert all([s.kind for s in r.added] == (["secret"] if r.doc_id < 30 else []) for r in found)
     s = found[0].added[0]
     text = secrets[found[0].doc_id]
     assert text[s.start : s.end].strip('"') == hashlib.sha1(b"%d" % found[0].doc_id).hexdigest()
 
 
+def test_op4_candidates_without_quotes_and_of_any_length(spark):
+    key = hashlib.sha512(b"k").hexdigest() * 4
+    texts = [f'api_key = "{key}" it is', "password: hunter2secret99xk31ab0 and on", "version 12345678901234 of it", "the token bus"] * 12
+    found = pii.find_pii(documents(spark, texts)).collect()
+    for r in found:
+        spans = [texts[r.doc_id][s.start : s.end] for s in r.added if s.kind == "secret"]
+        assert spans == ([[f'"{key}"'], ["hunter2secret99xk31ab0"], [], []][r.doc_id % 4])
+
+
+def test_op4_added_spans_are_the_classifier_s(spark, tmp_path):
+    """Brute force: candidates found by the patterns, each taken or not by its features."""
+    texts = fuzz(400, 5) + [f'k token = "{hashlib.sha1(b"%d" % i).hexdigest()}" 4785380592391{i:03d} w' for i in range(40)]
+    docs = documents(spark, texts)
+    spans = {r.doc_id: r.spans for r in pii.proposed(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))).collect()}
+    counts = {}
+    for own in spans.values():
+        for s in own:
+            counts[s.kind, s.votes, s.flags] = counts.get((s.kind, s.votes, s.flags), 0) + 1
+    rule = pii.trained([(*k, n) for k, n in counts.items()])
+    for r in pii.find_pii(docs).collect():
+        t, want = texts[r.doc_id], []
+        for m in re.finditer(r"""["'][A-Za-z0-9+/_-]{16,}["']""", t):
+            want.append(("secret", m.start(), m.end()))
+        for m in re.finditer(r"[0-9](?:[ -]?[0-9]){12,}", t):
+            d = re.sub("[^0-9]", "", m[0])
+            if not (13 <= len(d) <= 19 and luhn(d)) and not re.search(r"[^\W\d]$", t[: m.start()]) and not re.match(r"[^\W\d]", t[m.end() :]):
+                want.append(("number", m.start(), m.end()))
+        by_place = {(s.kind, s.start, s.end): s for s in spans[r.doc_id] if not s.base}
+        assert sorted(by_place) == sorted(want), t
+        assert [tuple(s) for s in r.added] == sorted(k for k, s in by_place.items() if rule.takes(k[0], s.flags))
+
+
+def test_op4_many_matches_in_a_text(spark):
+    n = 100_000
+    text = " ".join(f"é{i % 10}@b.co" for i in range(n))
+    docs = documents(spark, [text])
+    start = time.perf_counter()
+    (r,) = pii.find_pii(docs).select(F.size("base").alias("n"), F.expr("base[99999].start").alias("last")).collect()
+    assert (r.n, r.last) == (n, len(text) - 6)
+    out = pii.redact(docs.limit(1)).select("text").collect()[0].text
+    assert out == re.sub(BASE["email"], "[EMAIL]", text)
+    assert time.perf_counter() - start < 60
+
+
 def test_reliabilities_follow_the_votes():
     p = pii.reliabilities([("k", "1111", 50), ("k", "1121", 10), ("k", "0000", 60), ("k", "0200", 5), ("k", "1100", 1)])
     assert p["k", "1111"] > 0.95 and p["k", "1121"] > 0.9 and p["k", "0000"] < 0.05 and p["k", "0200"] < 0.1
@@ -116,17 +163,65 @@ def test_grammar():
 
     def kinds(text):
         symbols = b"".join(map(lexicon.__getitem__, text.split()))
-        return [(k, w) for c in symbols.split(b"\n") for k, _, w in toxicity.matches(c, weight)]
+        return [(k, w) for c in symbols.split(b"\n") for _, k, w in toxicity.matches(c, weight)]
 
     assert kinds("a fool.") == [("plain", 2.0)] and kinds("You fool!") == [("aimed", 2.0)] and kinds("such an idiotic thing") == [("plain", 3.0)]
     assert kinds("never a fool") == [("negated", 2.0)] and kinds("never. A fool") == [("plain", 2.0)]
-    assert kinds("he said a fool") == [("reported", 2.0)] and kinds("kill time") == [] and kinds("I will kill you") == [("aimed", 1.0)]
+    assert kinds("he said a fool") == [("reported", 2.0)] and kinds("kill time") == [] and kinds("I will kill you") == [("threat", 1.0)]
+    assert kinds("ein fool bist du") == [("aimed", 2.0)] and kinds("jamais un fool") == [("negated", 2.0)] and kinds("según ella un fool") == [("reported", 2.0)]
+    assert [m[0] for m in toxicity.judged("a b. you fool! x\ny fool", lexicon, weight)[1]] == [3, 6]
+
+
+def test_composition_equals_one_transducer_after_the_other():
+    rnd = random.Random(4)
+    a, b, c = toxicity.near(toxicity.TARGET, toxicity.AIMED), toxicity.near(toxicity.NEGATION, toxicity.NEGATED, 2), toxicity.since(toxicity.REPORT, toxicity.REPORTED)
+    both = toxicity.composed(toxicity.composed(a, b), c)
+    assert len(both.step) <= len(a.step) * len(b.step) * len(c.step)
+    for _ in range(400):
+        s = bytes(rnd.choice((0, 0, 0, 1, 2, 3, 4, 5)) for _ in range(rnd.randrange(30)))
+        assert both.run(s) == c.run(bytes(b.run(bytes(a.run(s)))))
+
+
+def test_grammar_by_enumeration():
+    """Each hit's marks as a search over all symbols before and behind it says."""
+    rnd, t = random.Random(9), toxicity
+    byte = {**t.BYTES, t.INSULT: t.FIRST_STEM}
+    for _ in range(600):
+        s = [rnd.choice((0, 0, 0, 0, 1, 2, 3, 4, 5)) for _ in range(rnd.randrange(40))]
+        want = []
+        for i, x in enumerate(s):
+            aimed = any(y == t.TARGET and 0 < abs(i - j) <= t.REACH for j, y in enumerate(s))
+            negated = any(y == t.NEGATION and 0 < i - j <= t.REACH for j, y in enumerate(s))
+            reported = t.REPORT in s[:i]
+            if x == t.INSULT or (x == t.THREAT and aimed):
+                want.append((i, "reported" if reported else "negated" if negated else "threat" if x == t.THREAT else "aimed" if aimed else "plain", 1.0))
+        assert list(t.matches(bytes(byte[x] for x in s), {})) == want
+
+
+def test_a_clause_of_a_million_words_takes_linear_time():
+    lexicon = toxicity.Lexicon({"fool": (toxicity.FIRST_STEM, 2.0)})
+    start = time.perf_counter()
+    x, found = toxicity.judged("you fool " * 500_000, lexicon, {toxicity.FIRST_STEM: 2.0})
+    assert len(found) == 500_000 and np.isfinite(x).all() and time.perf_counter() - start < 8
+
+
+def test_the_sample_is_bounded_and_its_offset_put_right(spark, monkeypatch):
+    rows = labelled(400) + [(5, "other text of one id", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    whole, shares = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    assert shares == (1.0, 1.0) and len(whole) == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(400))
+    monkeypatch.setattr(toxicity, "MOST_BYTES", 50_000)
+    few, shares = toxicity.labelled_sample(docs, labels, "doc_id", "text", "toxic")
+    assert sum(len(t.encode()) for t, _ in few) <= 50_000 and len(few) < len(whole) and max(shares) < 1
+    one, half = toxicity.fit(whole), toxicity.fit(whole, (0.5, 1.0))
+    assert one.weights[1:] == half.weights[1:] and abs(half.weights[0] - one.weights[0] - np.log(0.5)) < 1e-9
 
 
 def test_op3_without_labels(spark):
     docs = documents(spark, ["a", None])
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
-    assert [r.score for r in toxicity.toxicity(docs, model).collect()] == [0.5, 0.5]
+    assert [(r.score, r.n_matches) for r in toxicity.toxicity(docs, model).collect()] == [(0.5, 0), (0.5, 0)]
     assert toxicity.toxicity(docs.where("false"), model).count() == 0
 
 
@@ -160,9 +255,25 @@ def test_op6(spark, tmp_path):
     assert topk_search.topk_search(df.where("false"), df.where("false")).count() == 0
 
 
-@pytest.mark.parametrize("block", [7, 8192])
-def test_op6_blocks(spark, monkeypatch, block):
+def test_op6_great_weights(spark):
+    import numpy as np
+
+    rows = [(0, [1.0, 2.0]), (1, [3e6, 1.0]), (2, [1.0, 1.0]), (3, [-3e6, 5.0]), (4, [0.5, 2e3]), (100, [2e6, -2.0]), (200, [2e6, 1e-3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk_search.topk_search(df, df.where("vec_id % 100 = 0"), k=4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    assert got == brute_topk(rows, 4) and got[0][0][1] == 1
+    far = spark.createDataFrame([(0, [1e300]), (1, [1e300])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64-bit"):
+        topk_search.topk_search(far, far).collect()
+    assert topk_search.Rows(pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[float(np.nextafter(0, 1)), -1e-9]])], names=["a", "b"])).weight.tolist() == [-1]
+
+
+@pytest.mark.parametrize(("block", "held"), [(7, 2), (7, 16), (8192, 16)])
+def test_op6_blocks(spark, monkeypatch, block, held):
     monkeypatch.setattr(topk_search, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk_search, "HELD_BLOCKS", held)
     rows = spark.createDataFrame([(i, [float(i % 5)]) for i in range(60)], "vec_id long, embedding array<double>").coalesce(1)
     got = [r.vec_id for r in topk_search.topk_search(rows, rows.where("vec_id = 4")).orderBy("rank").collect()]
     assert got == [9, 14, 19, 24, 29, 34, 39, 44, 49, 54]
@@ -191,6 +302,20 @@ def test_op7(spark):
     assert url_filter.url_filter(captures.where("false"), log).count() == 0
 
 
+def test_op7_hot_keys_and_long_urls(spark):
+    rows = [(f"h{i}.hot.org", "s", datetime.date(2024, 1, 1 + i % 9)) for i in range(300)] + [("a.cold.net", "s", datetime.date(2024, 1, 2))]
+    asked = spark.createDataFrame(rows, "host string, segment string, day date").withColumn("entry", F.explode(url_filter.keys_of(F.col("host"), F.col("segment"))))
+    spans = spark.createDataFrame([(e, c, datetime.date(2024, 1, 1), datetime.date(2024, 1, 5)) for e, c in (("hot.org", "x"), ("hot.org", "y"), ("cold.net", "z"), ("h1.hot.org", "w"))], "entry string, category string, from_day date, to_day date")
+    want = sorted(tuple(r) for r in asked.join(spans, "entry").select("host", "day", "entry", "category").collect())
+    for hot_rows, hot_keys in ((100_000, 10_000), (20, 10_000), (20, 1), (200, 5)):
+        got = url_filter.salted(asked, spans, hot_rows, hot_keys).select("host", "day", "entry", "category").collect()
+        assert sorted(tuple(r) for r in got) == want
+    long = "http://x.bad.org/" + "p" * 100_000 + "/" + "q" * 100_000
+    pages = spark.createDataFrame([(1, long, "2024-01-02"), (2, "http://[::1]:80/a", "2024-01-02"), (None, "http://bad.org", "2024-01-02")], "page_id long, url string, day string")
+    log = spark.createDataFrame([("bad.org", "2024-01-01", "add", "spam"), ("[::1]", "2024-01-01", "add", "local")], "entry string, day string, action string, category string")
+    assert sorted([(r.page_id, r.category) for r in url_filter.url_filter(pages, log).collect()], key=str) == [(1, "spam"), (2, "local"), (None, "spam")]
+
+
 def test_native_operators_run_no_python(spark):
     from motionframe.llm import exact_dedup
 
