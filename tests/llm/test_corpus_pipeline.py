@@ -74,6 +74,18 @@ def test_stages_take_nulls_repeats_and_no_rows(spark, tmp_path):
         assert (docs.count() > n) if n else docs.count() == 0
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    rows, sf = corpus(spark, tmp_path)
+    docs = table(spark, rows[:60] + rows[-5:]).selectExpr("*", "0.25D AS score", "'m' AS matches", "1 AS score_", "true AS kept", "doc_id AS row", "text AS spans", "1L AS component_id", "'x' AS digest", "2 AS n")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    assert {(r.score, r.matches, r.n) for r in docs.collect()} == {(0.25, "m", 2)}
+    assert corpus_pipeline.STAGES[4][1](spark, docs, sf).count() >= docs.count()
+
+
 def test_near_copies_from_80_percent_on_go(spark, tmp_path):
     texts = [t for g in range(12) for t in (prose(9000 + g, 200), edited(prose(9000 + g, 200), g, 3 + g % 4))]
     sets, pairs = [shingles(t) for t in texts], range(0, len(texts), 2)
