@@ -57,6 +57,7 @@ HITS = (THREAT, INSULT)
 AIMED, NEGATED, REPORTED = 8, 16, 32
 SYMBOLS = 64
 REACH = 6
+SHORT = 8  # words that a clause has at least, on average
 KINDS = ("plain", "aimed", "negated", "reported", "threat")
 #: How the lexical transducer writes them: a byte a word, then a line feed where a clause ends; insults have a byte a stem.
 END = 0x0A
@@ -154,7 +155,8 @@ class Lexicon(dict):
 
     def __missing__(self, word: str) -> bytes:
         bare = EDGE.sub("", word).lower()
-        found = bytes([self.byte(bare)]) + (b"\n" if word[-1:] in ENDS else b"")
+        # a mark that stands alone, as between the cells of a row, ends no clause
+        found = bytes([self.byte(bare)]) + (b"\n" if bare and word[-1:] in ENDS else b"")
         if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
@@ -184,7 +186,8 @@ N_FEATURES = 4 + 2 * len(KINDS)
 
 def judged(text: str, lexicon: Lexicon, weight: dict[int, float]) -> tuple[np.ndarray, list[tuple[int, str, float]]]:
     """Features of a text's matched clauses, and the matches as (word's place in the text, kind, weight)."""
-    symbols = b"".join(map(lexicon.__getitem__, text.split()))
+    words = text.split()
+    symbols = b"".join(map(lexicon.__getitem__, words))
     found: list[tuple[int, str, float]] = []
     total, best, clauses = dict.fromkeys(KINDS, 0.0), dict.fromkeys(KINDS, 0.0), 0
     at = 0
@@ -200,7 +203,7 @@ def judged(text: str, lexicon: Lexicon, weight: dict[int, float]) -> tuple[np.nd
                     total[k] += v
                     best[k] = max(best[k], v)
             at += len(clause)
-    n = symbols.count(b"\n") + 1
+    n = min(symbols.count(b"\n"), len(words) // SHORT) + 1  # a text whose every word ends a clause has fewer than it seems
     own = [math.log1p(total[k]) for k in KINDS] + [best[k] for k in KINDS]
     return np.array([1.0, math.log1p(clauses), 10 * clauses / (n + 10), float(clauses > 1), *own]), found
 

@@ -169,6 +169,7 @@ def test_grammar():
     assert kinds("never a fool") == [("negated", 2.0)] and kinds("never. A fool") == [("plain", 2.0)]
     assert kinds("he said a fool") == [("reported", 2.0)] and kinds("kill time") == [] and kinds("I will kill you") == [("threat", 1.0)]
     assert kinds("ein fool bist du") == [("aimed", 2.0)] and kinds("jamais un fool") == [("negated", 2.0)] and kinds("según ella un fool") == [("reported", 2.0)]
+    assert kinds("you | fool |") == [("aimed", 2.0)] and kinds("you. | fool") == [("plain", 2.0)]  # a lone mark ends no clause
     assert [m[0] for m in toxicity.judged("a b. you fool! x\ny fool", lexicon, weight)[1]] == [3, 6]
 
 
