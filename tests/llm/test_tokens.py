@@ -150,6 +150,29 @@ def test_local_search_empties_bins():
         assert len(out) <= len(packing.best_fit(sizes, 100))
 
 
+def least_bins(sizes, capacity):
+    """The fewest bins, by trying every subset that can be the rest of a packing."""
+    n, best = len(sizes), {0: (0, capacity)}  # subset to (bins, fill of the last one), the least
+    for subset in range(1, 1 << n):
+        options = []
+        for i in range(n):
+            if subset >> i & 1:
+                bins, fill = best[subset ^ (1 << i)]
+                options.append((bins, fill + sizes[i]) if fill + sizes[i] <= capacity else (bins + 1, sizes[i]))
+        best[subset] = min(options)
+    return best[(1 << n) - 1][0]
+
+
+def test_packing_against_the_optimum():
+    rnd, over = random.Random(8), 0
+    for _ in range(60):
+        sizes = [rnd.randrange(1, 101) for _ in range(rnd.randrange(1, 10))]
+        n, least = len(packing.pack(sizes, 100)), least_bins(sizes, 100)
+        assert least <= n <= least + 1
+        over += n - least
+    assert over <= 3
+
+
 def pieces_of(rows):
     return {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in rows}
 
