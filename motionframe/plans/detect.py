@@ -20,9 +20,12 @@ PIXEL_BUDGET = 1024
 
 
 def first_frame(frames: DataFrame, bg_id: int | None = None) -> tuple[int, np.ndarray]:
-    """Number and array of the first packed frame: one row reaches the driver.  A number that is known needn't be looked for."""
+    """Number and array of the first packed frame: one row reaches the driver.  A number that is known needn't be looked for.
+
+    Of frames that repeat the number the least counts.  An aggregate, unlike a limit, doesn't stop workers half way.
+    """
     bg_id = S.background_id(frames) if bg_id is None else bg_id
-    r = frames.where(F.col("frame_id") == bg_id).head()
+    r = frames.where(F.col("frame_id") == bg_id).agg(F.min(F.struct("height", "width", "n_channels", "data")).alias("first")).head().first
     a = np.frombuffer(bytes(r.data), np.uint8).reshape((r.height, r.width) + ((r.n_channels,) if r.n_channels > 1 else ()))
     return bg_id, a
 
