@@ -1,7 +1,9 @@
 """The same operators on whole frames as numpy arrays, and the Arrow functions that run them.
 
 Arrays are (frames, height, width); a batch of frames goes through each step at once.  Results equal the pixel-table
-forms bit for bit: blurs are summed in whole numbers, labels are first places in raster order.
+forms bit for bit: blurs are summed in whole numbers, labels are first places in raster order.  A frame without size or data
+is an error, and so is one of another size; frames that repeat a number are answered one by one; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -325,6 +327,8 @@ def stacks(batch: pa.RecordBatch, height: int, width: int) -> Iterator[tuple[np.
     step = max(1, min(BATCH_FRAMES, BATCH_PIXELS // (height * width)))
     for s in range(0, batch.num_rows, step):
         part = batch.slice(s, step)
+        if any(part.column(c).null_count for c in ("height", "width", "n_channels", "data")):
+            raise ValueError("a frame without size or data")
         sizes = {*zip(part.column("height").to_pylist(), part.column("width").to_pylist(), strict=True)}
         if sizes != {(height, width)}:
             raise ValueError(f"frames of {sorted(sizes)} against a background of {(height, width)}")

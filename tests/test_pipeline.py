@@ -65,6 +65,14 @@ def test_frames_of_unlike_size(spark):
         S.frame_size(packed_frames(spark, STILL, np.zeros((4, 4))))
 
 
+def test_frames_without_data_and_repeated_ones(spark):
+    frames = packed_frames(spark, *FRAMES)
+    with pytest.raises(Exception, match="without size or data"):
+        packed.detect(frames.withColumn("data", F.lit(None).cast("binary")), STILL.astype(np.uint8), SMALL).collect()
+    twice = frames.union(frames)
+    assert rows_of(D.detect(twice, SMALL)) == sorted(2 * rows_of(D.detect(frames, SMALL)))
+
+
 def test_pack_and_unpack(spark):
     frames = packed_frames(spark, *FRAMES)
     again = S.pack(S.unpack(frames), 20, 24)
