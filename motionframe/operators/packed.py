@@ -452,8 +452,12 @@ def render(packed: DataFrame, boxes: DataFrame, thickness: int = 2, text: str |
 
 
 def rate_text(milliseconds: Column) -> Column:
-    """The overlay's text for a frame that took so long: frames a second, with two digits."""
-    return F.format_string("Fps: %.2f", F.lit(1000.0) / milliseconds)
+    """The overlay's text for a frame that took so long: frames a second, with two digits; null for an unknown time.
+
+    Rounded as C's printf does, from the double's exact value and halves to even (15.625 is 15.62), below 2**46 frames a
+    second.  Java's own %.2f takes the shortest decimal and rounds halves up.
+    """
+    return F.concat(F.lit("Fps: "), F.call_function("format_number", F.lit(1000.0) / milliseconds, F.lit("0.00")))
 
 
 def printed(packed: DataFrame) -> DataFrame:

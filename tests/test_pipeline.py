@@ -154,6 +154,29 @@ def test_printed_frames_and_rates(spark):
     assert packed_frames(spark, STILL).select(packed.rate_text(F.lit(4.0)).alias("t")).head().t == "Fps: 250.00"
 
 
+def test_rates_round_as_c_does(spark):
+    """Halves, the doubles next to them, negative rates and ones far from 1: as Python's own %, which is C's."""
+    half = (2 * np.arange(400) + 1) / 200
+    rates = np.concatenate([half, np.nextafter(half, 9), np.nextafter(half, 0), -half, 8000 / np.arange(1, 13001), RNG.uniform(0, 1e6, 2000), 10 ** RNG.uniform(-9, 12, 2000)])
+    took = spark.createDataFrame([(float(1000 / r),) for r in rates], "ms double")
+    got = took.select("ms", packed.rate_text(F.col("ms")).alias("t")).collect()
+    assert [r.t for r in got] == ["Fps: %.2f" % (1000 / r.ms) for r in got]
+    assert spark.range(1).select(packed.rate_text(F.lit(None).cast("double")).alias("t")).head().t is None
+
+
+def test_overlay_text_of_late_frames_is_its_sql(spark, tmp_path):
+    """Frames 511, 2559 and 12799 have rates that end in half a hundredth; smaller tables have none."""
+    duckdb = pytest.importorskip("duckdb")
+    from motionframe.plans.queries import QUERIES, SQL
+
+    rows = [(64 * f + 5, [0.1] * 64) for f in (0, 63, 510, 511, 512, 2559, 12799, 63999)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted(map(tuple, QUERIES["overlay_text"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == sorted(con.execute(SQL["overlay_text"]).fetchall())
+
+
 def test_command_line(spark, tmp_path, capsys):
     from motionframe.__main__ import main
 
