@@ -38,6 +38,7 @@ NODE = 128
 STAR_BLOCK = 256  # sets that are compared with one leader in a task, about
 BLOCK = 512  # sets of a family on each side of a comparison, about
 BLOCK_SHINGLES = 2_000_000
+PART = 1 << 18  # bytes of text that are hashed at once, about; at least 28 bytes of memory for each
 DENSE = 4  # pairs for each member, from which on a group is dense
 BROADCAST_ROWS = 1 << 20  # of 16 bytes, and as many again for their table
 MISS = 1e-4
@@ -63,7 +64,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = coefficients()
         for batch in it:
-            for part in by_size(batch):
+            for part in by_size(batch, most=PART):
                 sets = shingle_sets(part.column(1))
                 f1 = np.array([s.sum(dtype=U) for s in sets], U)
                 f2 = np.array([mix(s * SET_HASH).sum(dtype=U) for s in sets], U)
@@ -374,7 +375,7 @@ def full_sets(docs: DataFrame) -> DataFrame:
 
     def task(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            for part in by_size(batch):
+            for part in by_size(batch, most=PART):
                 words = [s.astype("<u8").tobytes() for s in shingle_sets(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("rep"), pa.array(words, pa.binary())], names=["rep", "words"])
 

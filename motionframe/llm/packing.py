@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motionframe.llm.common import by_size, narrowed, pool_of, small_batches, table, written
-from motionframe.llm.tokens import encoder
+from motionframe.llm.tokens import WORDS, encoder
 
 CAPACITY = 4096
 POOL_DOCS = 60_000
@@ -35,11 +35,11 @@ PACKED = "doc_id long, piece int, start long, length long, ids binary, ids_crc32
 
 def pieces(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
-    tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True,
+    tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True, words: int = WORDS,
 ) -> DataFrame:
     """Each document's ids and end_id, cut every ``capacity`` ids where there are more: row, doc_id, piece, start, length, ids.
 
-    row numbers the pieces; ids are little-endian uint16 where the vocabulary allows (``id_type``), else uint32.
+    words: how many words a worker remembers.  row numbers the pieces; ids are little-endian uint16 where the vocabulary allows (``id_type``), else uint32.
     """
     kind = id_type(tokenizer, end_id, spaceless)
     schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -47,7 +47,7 @@ def pieces(
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokens = encoder(tokenizer, spaceless)
+        tokens = encoder(tokenizer, spaceless, words)
         row = TaskContext.get().partitionId() << 33
         for b in it:
             for texts in by_size(b):
@@ -156,7 +156,7 @@ def pack(lengths: list[int], capacity: int, group_bins: int = GROUP_BINS) -> lis
 def best_fit_packing(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True,
-    pool_docs: int = POOL_DOCS, open_fill: float = OPEN_FILL, group_bins: int = GROUP_BINS,
+    pool_docs: int = POOL_DOCS, open_fill: float = OPEN_FILL, group_bins: int = GROUP_BINS, words: int = WORDS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset: one row for each piece, sequences gapless from 0.
 
@@ -165,7 +165,7 @@ def best_fit_packing(
     packed whole, piece by piece.  Rows that repeat are packed as often as they come, those without id too; of pieces of one
     length any may come first.  An empty table gives an empty result; other columns are ignored.
     """
-    whole = placed(docs, id_col, text_col, capacity, tokenizer, end_id, spaceless, pool_docs, open_fill, group_bins)
+    whole = placed(docs, id_col, text_col, capacity, tokenizer, end_id, spaceless, pool_docs, open_fill, group_bins, words)
     kind = id_type(tokenizer, end_id, spaceless)
 
     def widened(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,10 +180,10 @@ def best_fit_packing(
 def placed(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
     tokenizer: str = "word_bpe_49k.json", end_id: int = 1, spaceless: bool = True,
-    pool_docs: int = POOL_DOCS, open_fill: float = OPEN_FILL, group_bins: int = GROUP_BINS,
+    pool_docs: int = POOL_DOCS, open_fill: float = OPEN_FILL, group_bins: int = GROUP_BINS, words: int = WORDS,
 ) -> DataFrame:
     """doc_id, piece, start, length, ids (as ``id_type`` says), sequence_id, offset: the pieces in their sequences."""
-    cut = written(pieces(docs, id_col, text_col, capacity, tokenizer, end_id, spaceless), "pieces")
+    cut = written(pieces(docs, id_col, text_col, capacity, tokenizer, end_id, spaceless, words), "pieces")
     searched = cut.select("row", "doc_id", "piece", "length")
     schema = f"{SEARCHED}, sequence_id long, offset long"
 

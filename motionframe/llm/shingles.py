@@ -35,9 +35,7 @@ KEPT = (1 << 21) + (1 << 18)
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@cache
-def _kept_powers(base: int) -> np.ndarray:
-    return _powers(KEPT, base)
+_kept: dict[int, np.ndarray] = {}
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -51,8 +49,12 @@ def _powers(n: int, base: int) -> np.ndarray:
 
 
 def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; a worker keeps the first KEPT of a base."""
-    return _kept_powers(base)[:n] if n <= KEPT else _powers(n, base)
+    """base**0 .. base**(n-1) modulo 2**64; a worker keeps as many of a base as its texts needed, KEPT at most."""
+    if n > KEPT:
+        return _powers(n, base)
+    if base not in _kept or len(_kept[base]) < n:
+        _kept[base] = _powers(min(KEPT, 1 << n.bit_length()), base)
+    return _kept[base][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 Both vocabularies' pre-tokenizers end a token before a single space or line feed that stands between two characters
 that aren't white space, and look no further back.  So the ids of such a text are those of its words, one after
-another.  Words repeat: a worker keeps the ids of up to ``WORDS`` of them.  A new word of Latin-1 letters, with a mark
+another.  Words repeat: a worker keeps the ids of up to ``WORDS`` of them, or as many as its caller says.  A new word of Latin-1 letters, with a mark
 after it or not, goes straight to the library's BPE model; any other new word, any text with other white space about,
 and any text that holds the string of a special token goes through the library's whole tokenizer.
 """
@@ -37,8 +37,8 @@ class Odd(Exception):
 class Words(dict):
     """Word to its ids as little-endian uint32 bytes; what isn't known is found and kept."""
 
-    def __init__(self, tokenizer, lead: str, spaceless: bool):
-        self.tokenizer, self.lead, self.spaceless = tokenizer, lead, spaceless
+    def __init__(self, tokenizer, lead: str, spaceless: bool, most: int = WORDS):
+        self.tokenizer, self.lead, self.spaceless, self.most = tokenizer, lead, spaceless, most
         self.letter = byte_letters()[32] if lead else ""
         self.marks: dict[str, bytes] = {}
         self.tokenize = tokenizer.model.tokenize
@@ -53,7 +53,7 @@ class Words(dict):
             raise Odd
         else:
             found = self.slowly(word, self.lead)
-        if len(self) >= WORDS:
+        if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:
             self[word] = found
@@ -73,7 +73,7 @@ class Words(dict):
 class Encoder:
     """ids of whole texts, as the library as it comes gives them.  spaceless: white space has no ids."""
 
-    def __init__(self, name: str, spaceless: bool):
+    def __init__(self, name: str, spaceless: bool, most: int = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
         from tokenizers import Tokenizer
@@ -82,8 +82,8 @@ class Encoder:
         strings = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, strings)), re.IGNORECASE) if strings else None
         self.spaceless = spaceless
-        self.first = Words(self.tokenizer, "", spaceless)
-        self.later = self.first if spaceless else Words(self.tokenizer, " ", spaceless)
+        self.first = Words(self.tokenizer, "", spaceless, most)
+        self.later = self.first if spaceless else Words(self.tokenizer, " ", spaceless, most)
         self.line_end = b"" if spaceless else np.array(self.tokenizer.encode("\n").ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
@@ -108,6 +108,6 @@ class Encoder:
 
 
 @cache
-def encoder(name: str, spaceless: bool) -> Encoder:
+def encoder(name: str, spaceless: bool, most: int = WORDS) -> Encoder:
     """One for each worker process."""
-    return Encoder(name, spaceless)
+    return Encoder(name, spaceless, most)

@@ -149,14 +149,16 @@ class Model:
 class Lexicon(dict):
     """Word as it stands in a text to its byte, and END after it where it ends a clause; remembers words met."""
 
-    def __init__(self, stems: dict[str, tuple[int, float]], most: int = 300_000):
+    def __init__(self, stems: dict[str, tuple[int, float]], most: int = 100_000):
         self.stems, self.most = stems, most
+        self.forms: dict[bytes, bytes] = {}  # what words become: few values, each held once
         self.listed = {w: k for k, words in ((REPORT, REPORTS), (NEGATION, NEGATIONS), (THREAT, THREATS), (TARGET, TARGETS)) for w in words}
 
     def __missing__(self, word: str) -> bytes:
         bare = EDGE.sub("", word).lower()
         # a mark that stands alone, as between the cells of a row, ends no clause
         found = bytes([self.byte(bare)]) + (b"\n" if bare and word[-1:] in ENDS else b"")
+        found = self.forms.setdefault(found, found)
         if len(self) >= self.most:
             self.clear()
         if len(word) <= 64:

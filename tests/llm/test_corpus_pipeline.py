@@ -2,7 +2,7 @@ import hashlib
 import re
 
 import corpus_pipeline
-from motionframe.llm import near_dedup, registry, toxicity
+from motionframe.llm import near_dedup, packing, registry, tokens, toxicity
 from tests.llm.helpers import WHITE, edited, near_components, prose, saved, shingles
 from tests.llm.test_filters import base_spans, labelled
 from tests.llm.test_tokens import check_packing
@@ -23,6 +23,13 @@ def corpus(spark, path):
     return rows, saved(spark, path, table(spark, rows).repartition(3), labels=labels)
 
 
+def test_packing_remembers_fewer_words_than_op5(monkeypatch):
+    asked = []
+    monkeypatch.setattr(packing, "best_fit_packing", lambda docs, **more: asked.append(more))
+    dict(corpus_pipeline.STAGES)["packing"](None, None, "")
+    assert asked[0]["words"] < tokens.WORDS
+
+
 def test_stages_against_brute_force(spark, tmp_path):
     rows, sf = corpus(spark, tmp_path)
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -1,6 +1,8 @@
 import collections
 import hashlib
+import importlib.util
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,36 @@ from motionframe.llm.suffix_array import repeated, suffix_array
 from tests.llm.helpers import WHITE, documents, edited, linked_components, near_components, prose, saved, shingles
 
 
+def test_hashing_keeps_little_memory():
+    spec = importlib.util.find_spec("motionframe.llm.shingles")
+    fresh = importlib.util.module_from_spec(spec)  # as in a new worker
+    spec.loader.exec_module(fresh)
+    texts = pa.array([prose(1, 50), prose(2, 300), "a b c"])
+    tracemalloc.start()
+    try:
+        sets = fresh.shingle_sets(texts)
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 2e6 and all((a == b).all() for a, b in zip(sets, shingle_sets(texts), strict=True))
+    long = pa.array([prose(3, 60_000)])  # more powers than are held by now
+    assert len(fresh.shingle_sets(long)[0]) == len(shingles(long[0].as_py()))
+
+
+def test_near_dedup_hashes_small_parts(monkeypatch):
+    asked = []
+    monkeypatch.setattr(near_dedup, "shingle_sets", lambda texts: asked.append(sum(len(t.as_py()) for t in texts)) or shingle_sets(texts))
+
+    class Docs:
+        mapInArrow = staticmethod(lambda task, schema: task)
+
+    whole = [prose(i, 300) for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(whole), pa.array(range(1000))], names=["doc_id", "text", "text_key"])
+    got = pa.Table.from_batches(near_dedup.signatures(Docs)(iter([batch])))
+    assert got.column("doc_id").to_pylist() == list(range(1000)) and got.column("n").to_pylist() == [len(shingles(t)) for t in whole]
+    assert sum(asked) == sum(map(len, whole)) > 3 * max(asked) and max(asked) < 300_000
+
+
 def test_op8(spark, tmp_path):
     texts = ["a b", "a  b", "a\t\nb", "A b", None, "", "c"] + ["hot copy"] * 200 + [prose(i % 7, 40) for i in range(30)] + ["\xa0", "x" * 100_000]
     got = {r.doc_id: r for r in exact_dedup.op8_exact_dedup(spark, saved(spark, tmp_path, documents(spark, texts).repartition(9))).collect()}

@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -199,6 +200,21 @@ def test_grammar_by_enumeration():
         assert list(t.matches(bytes(byte[x] for x in s), {})) == want
 
 
+def test_remembered_words_take_little_memory():
+    lexicon = toxicity.Lexicon({"fool": (toxicity.FIRST_STEM, 2.0)})
+    tracemalloc.start()
+    try:
+        for i in range(400_000):
+            lexicon[f"word{i}."]
+        lexicon.clear()
+        for i in range(lexicon.most):
+            lexicon[f"word{i}."]
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held < 16e6 and lexicon["fool."] == bytes([toxicity.FIRST_STEM]) + b"\n"
+
+
 def test_a_clause_of_a_million_words_takes_linear_time():
     lexicon = toxicity.Lexicon({"fool": (toxicity.FIRST_STEM, 2.0)})
     start = time.perf_counter()

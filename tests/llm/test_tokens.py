@@ -33,6 +33,13 @@ def test_words_give_the_library_s_ids(name, spaceless):
         assert own.encode(text).tolist() == whole(text), repr(text[:60])
 
 
+def test_words_are_forgotten_and_found_again():
+    own, whole = Encoder("word_bpe_49k.json", True, most=100), library("word_bpe_49k.json")
+    for text in [prose(i, 300) for i in range(5)] + fuzz(200, 4):
+        assert own.encode(text).tolist() == whole(text), repr(text[:60])
+        assert len(own.first) <= 100
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 15, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype("<u4")
